@@ -61,7 +61,7 @@ def causal_candidates(
     pairs = interval_join(
         windows, events, ["env_key"], "_lo", "_hi", "at",
         bucket_seconds=reach + horizon_seconds,
-        spread_by=["kind", "event_key"],
+        spread_by=["kind", "event_key", "at"],
         rows_per_task=rows_per_task,
     ).drop("_lo", "_hi")
     return pairs.withColumn("delta_seconds", seconds_between(F.col("at"), detected))

@@ -22,6 +22,11 @@ def scope(df: DataFrame, **keys: str | None) -> DataFrame:
     return df
 
 
+def resolve_id(df: DataFrame, key: str, wanted: str) -> DataFrame:
+    """The row whose id is, or starts with, ``wanted`` (an id or its first characters)."""
+    return df.where(F.startswith(F.col(key), F.lit(wanted))).orderBy(key).limit(1)
+
+
 def all_events(
     deployments: DataFrame, metric_shifts: DataFrame, log_signatures: DataFrame
 ) -> DataFrame:
