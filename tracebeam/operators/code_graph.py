@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.operators.skew import ROWS_PER_TASK, first_per_key, salted_join
+from tracebeam.operators.skew import first_per_key
 
 # Names of the resolution strategies.
 EXACT, SELF_METHOD, IMPORT_ALIAS = "exact", "self_method", "import_alias"
@@ -41,25 +41,29 @@ def _entries(imports: Column, aliases: bool) -> Column:
     return F.flatten(F.transform(imports, of_one))
 
 
-def _last_wins(entries: Column) -> Column:
-    """Entries without those that a later entry of the same name replaces."""
-    return F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"]
-        ),
-    )
-
-
 def index_imports(files: DataFrame) -> DataFrame:
-    """Per file: ``members`` (from-imports) and ``aliases`` (module imports) as name -> target."""
+    """Per file: ``members`` (from-imports) and ``aliases`` (module imports) as name -> target.
+
+    A later import of a name replaces an earlier one.
+    """
+    key = ["repo_key", "path"]
     imports = F.col("imports")
-    as_map = lambda e: F.map_from_entries(_last_wins(e))
+    flagged = lambda aliases: F.transform(
+        _entries(imports, aliases),
+        lambda e: F.struct(F.lit(aliases).alias("is_alias"), e["name"].alias("name"), e["target"].alias("target")),
+    )
+    entries = files.select(*key, F.posexplode(F.concat(flagged(False), flagged(True))).alias("pos", "e"))
+    last = entries.groupBy(*key, "e.is_alias", "e.name").agg(
+        F.max_by("e.target", "pos").alias("target")
+    )
+    named = lambda want: F.map_from_entries(
+        F.collect_list(F.when(F.col("is_alias") == want, F.struct("name", "target")))
+    )
+    per_file = last.groupBy(*key).agg(named(False).alias("members"), named(True).alias("aliases"))
     empty = F.create_map().cast("map<string,string>")
-    return files.select(
-        "repo_key", "path", "module_name",
-        F.coalesce(as_map(_entries(imports, False)), empty).alias("members"),
-        F.coalesce(as_map(_entries(imports, True)), empty).alias("aliases"),
+    return files.select(*key, "module_name").join(per_file, key, "left").select(
+        *key, "module_name",
+        F.coalesce("members", empty).alias("members"), F.coalesce("aliases", empty).alias("aliases"),
     )
 
 
@@ -105,13 +109,11 @@ def _candidates() -> Column:
     return F.filter(F.array(*structs), lambda c: c["candidate"].isNotNull())
 
 
-def resolve_calls(
-    functions: DataFrame, files: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def resolve_calls(functions: DataFrame, files: DataFrame) -> DataFrame:
     """Every call site with the function it resolves to and the strategy, or unresolved.
 
     All candidates of a site meet the function index in one join instead of one per strategy; the
-    best match is then picked by a partial aggregate. Names called from everywhere are salted.
+    best match is then picked by a partial aggregate.
     """
     sites = call_sites(functions, files)
     index = functions.select("repo_key", F.col("qualified_name").alias("candidate")).distinct()
@@ -119,10 +121,9 @@ def resolve_calls(
     options = sites.select(
         *key, "line", "callee_text", F.explode(_candidates()).alias("option")
     ).select(*key, "line", "callee_text", "option.*")
-    matched = salted_join(
-        options, index.withColumn("found", F.lit(True)), ["repo_key", "candidate"],
-        ["caller", "site", "priority"], "left", rows_per_task,
-    )
+    # names called from everywhere make hot keys; a measuring pass would evaluate the candidates
+    # twice, so this join is left to adaptive skew handling (session.SETTINGS), which splits them
+    matched = options.join(index.withColumn("found", F.lit(True)), ["repo_key", "candidate"], "left")
     hit = F.when(F.col("found"), F.struct("priority", "strategy", "candidate"))
     return (
         matched.groupBy(*key, "line", "callee_text")

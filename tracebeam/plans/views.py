@@ -452,9 +452,12 @@ SQL_VIEWS = {
         WHEN 2 THEN 'pkg' || (l_suppkey % 50) || '.f' || l_suppkey WHEN 3 THEN 'pkg' || (l_suppkey % 50) || '.C.f' || l_suppkey
         WHEN 4 THEN f.module_name || '.f' || l_suppkey ELSE 'pkg' || (l_suppkey % 10) || '.f' || (l_suppkey % 10) END AS target
         FROM lineitem l JOIN v_function_names f ON f.p_partkey = l.l_partkey""",
-    "v_resolved": """SELECT s.*, t.qualified_name AS callee, CASE WHEN t.qualified_name IS NULL THEN '<unresolved>'
+    "v_resolved": """SELECT s.*, coalesce(t.qualified_name, m.qualified_name) AS callee, CASE WHEN t.qualified_name IS NULL AND m.qualified_name IS NULL THEN '<unresolved>'
+        WHEN t.qualified_name IS NULL THEN 'import_member'
         ELSE ['exact', 'self_method', 'import_alias', 'import_member', 'same_module', 'import_member'][form + 1] END AS strategy
-        FROM v_sites s LEFT JOIN v_function_names t ON t.repo_key = s.repo_key AND t.qualified_name = s.target""",
+        FROM v_sites s LEFT JOIN v_function_names t ON t.repo_key = s.repo_key AND t.qualified_name = s.target
+        LEFT JOIN v_function_names m ON s.form = 4 AND length(s.callee_text) = 2 AND m.repo_key = s.repo_key
+        AND m.qualified_name = 'pkg' || substr(s.callee_text, 2) || '.' || s.callee_text""",
     "v_files": """SELECT repo_key, file_path AS path, module_name, CAST(count(*) * 10 AS BIGINT) AS loc FROM v_function_names GROUP BY ALL""",
     "v_contains": """SELECT repo_key, file_path AS parent, 'file' AS parent_kind, qualified_name AS child FROM v_function_names
         UNION ALL SELECT DISTINCT repo_key, file_path, 'file', parent_class FROM v_function_names WHERE parent_class IS NOT NULL
@@ -505,6 +508,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not views:
         return quoted(body)
-    if body.upper().startswith("WITH "):
-        return quoted(f"WITH {views}, {body[5:]}")
+    rest = re.match(r"WITH (RECURSIVE )?", body, re.IGNORECASE)
+    if rest:
+        return quoted(f"WITH {rest.group(1) or ''}{views}, {body[rest.end():]}")
     return quoted(f"WITH {views} {body}")
