@@ -203,6 +203,6 @@ def parse_log_streams(docs: DataFrame, service_label: str = "job") -> DataFrame:
         F.explode("s.values").alias("v"),
     ).select(
         "env_key", "service_name",
-        F.timestamp_micros(F.floor(F.col("v")[0].cast("bigint") / 1000).cast("bigint")).alias("ts"),
+        F.timestamp_micros(F.expr("CAST(v[0] AS BIGINT) DIV 1000")).alias("ts"),
         F.col("v")[1].alias("message"),
     )
