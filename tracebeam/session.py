@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +18,31 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on."""
+    """Apply the runtime settings the operators rely on and hand the package to the executors."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tracebeam-code-")) / "tracebeam.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(root.rglob("*.py")):
+            bundle.write(source, Path(root.name) / source.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
