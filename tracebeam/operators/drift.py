@@ -51,43 +51,47 @@ def capture_baseline(
     return edges, counts
 
 
-def _difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct edges of ``left`` missing from ``right`` (repeats are merged before the shuffle)."""
-    return left.select(*EDGE).distinct().join(right.select(*EDGE), list(EDGE), "left_anti")
+def edge_changes(calls: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Edges present on one side only, as rows of the drift report.
 
-
-def drift_new(calls: DataFrame, baseline: DataFrame) -> DataFrame:
+    Both sides go through one aggregate, which merges repeated edges before the only shuffle.
+    """
+    side = lambda df, current: df.select(*EDGE, F.lit(current).alias("current"))
+    counted = (
+        side(calls, True).unionByName(side(baseline, False)).groupBy(*EDGE)
+        .agg(F.bool_or("current").alias("is_now"), F.bool_and("current").alias("is_only_now"))
+        .where(F.col("is_only_now") | ~F.col("is_now"))
+    )
     captured = baseline.groupBy("repo_key").agg(F.max("captured_at").alias("captured_at"))
     when = F.coalesce(F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("never"))
-    return (
-        _difference(calls, baseline)
-        .join(captured, "repo_key", "left")
-        .select(
-            *EDGE,
-            F.lit("new_dependency").alias("kind"),
-            F.lit("warning").alias("severity"),
-            F.concat(
-                F.lit("New dependency: "), "caller", F.lit(" → "), "callee",
-                F.lit(". This edge was absent in the baseline captured at "), when,
-            ).alias("description"),
-            F.lit(None).cast("string").alias("boundary_name"),
-        )
+    is_new = F.col("is_now")
+    added = F.concat(
+        F.lit("New dependency: "), "caller", F.lit(" → "), "callee",
+        F.lit(". This edge was absent in the baseline captured at "), when,
     )
-
-
-def drift_removed(calls: DataFrame, baseline: DataFrame) -> DataFrame:
-    return _difference(baseline, calls).select(
+    gone = F.concat(
+        F.lit("Dependency removed: "), "caller", F.lit(" → "), "callee",
+        F.lit(". This edge existed in the baseline but is no longer present."),
+    )
+    return counted.join(captured, "repo_key", "left").select(
         *EDGE,
-        F.lit("removed_dependency").alias("kind"),
-        F.lit("info").alias("severity"),
-        F.concat(
-            F.lit("Dependency removed: "), "caller", F.lit(" → "), "callee",
-            F.lit(". This edge existed in the baseline but is no longer present."),
-        ).alias("description"),
+        F.when(is_new, "new_dependency").otherwise("removed_dependency").alias("kind"),
+        F.when(is_new, "warning").otherwise("info").alias("severity"),
+        F.when(is_new, added).otherwise(gone).alias("description"),
         F.lit(None).cast("string").alias("boundary_name"),
     )
 
 
+def drift_new(calls: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Distinct edges of now that the baseline does not have."""
+    return edge_changes(calls, baseline).where(F.col("kind") == "new_dependency")
+
+
+def drift_removed(calls: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Distinct edges of the baseline that are gone."""
+    return edge_changes(calls, baseline).where(F.col("kind") == "removed_dependency")
+
+
 def boundary_violations(calls: DataFrame, boundaries: Sequence[Boundary]) -> DataFrame:
     """Edges (every row) that break a rule; the first matching rule in declared order counts.
 
@@ -125,7 +129,7 @@ def detect_drift(
     calls: DataFrame, baseline: DataFrame, boundaries: Sequence[Boundary] | None = None
 ) -> DataFrame:
     """New edges, broken boundaries and removed edges; ``severity_order`` sorts them for display."""
-    report = drift_new(calls, baseline).unionByName(drift_removed(calls, baseline))
+    report = edge_changes(calls, baseline)
     if boundaries:
         report = report.unionByName(boundary_violations(calls, boundaries))
     order = F.coalesce(*[F.when(F.col("severity") == s, F.lit(n)) for s, n in DRIFT_ORDER.items()])

@@ -118,12 +118,10 @@ def findings_to_sarif(
         F.array_sort(F.collect_list(F.struct("position", result.alias("r")))).alias("rows"),
         F.array_sort(F.collect_set("rule_id")).alias("rules"),
     )
-    head = report.select(
-        F.col("passed"), F.col("gate"), F.col("repo_key"), F.col("started_at"),
-        F.struct(*SEVERITY_RANK).alias("counts"),
-    )
-    # the report is a single row
-    joined = parts.join(F.broadcast(head), F.lit(True))
+    # the report is a single row, so it goes into the documents as literals
+    row = report.select("passed", "gate", "repo_key", "started_at", *SEVERITY_RANK).first()
+    counts = F.struct(*[F.lit(row[s]).alias(s) for s in SEVERITY_RANK])
+    started = F.date_format(F.lit(row["started_at"]).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
     run = F.struct(
         F.struct(
             F.struct(
@@ -133,20 +131,22 @@ def findings_to_sarif(
         ).alias("tool"),
         F.array(
             F.struct(
-                F.col("passed").alias("executionSuccessful"),
-                F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("startTimeUtc"),
-                F.when(F.col("passed"), 0).otherwise(1).alias("exitCode"),
-                F.struct("gate", "repo_key").alias("properties"),
+                F.lit(row["passed"]).alias("executionSuccessful"),
+                started.alias("startTimeUtc"),
+                F.lit(0 if row["passed"] else 1).alias("exitCode"),
+                F.struct(
+                    F.lit(row["gate"]).alias("gate"), F.lit(row["repo_key"]).alias("repo_key")
+                ).alias("properties"),
             )
         ).alias("invocations"),
         F.transform("rows", lambda x: x["r"]).alias("results"),
-        F.col("counts").alias("properties"),
+        counts.alias("properties"),
     )
     document = F.struct(
         F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"),
         F.array(run).alias("runs"),
     )
-    return joined.select("part", F.to_json(document).alias("sarif"))
+    return parts.select("part", F.to_json(document).alias("sarif"))
 
 
 def findings_to_markdown(
@@ -187,19 +187,12 @@ def findings_to_markdown(
             F.collect_list(F.struct((-severity_rank(F.col("severity"))).alias("o"), block.alias("b")))
         ).alias("blocks")
     )
-    counts = [
-        F.concat(F.lit(f"{i} "), F.col(s).cast("string"), F.lit(f" {t.lower()}"))
-        for s, (i, t) in TIERS.items()
-    ]
-    badge = F.when(F.col("passed"), "✅ **passed**").otherwise("❌ **failed**")
-    head = report.select(
-        F.concat(
-            F.lit("## Scan report\n\nGate `"), "gate", F.lit("` — "), badge, F.lit("\n\n"),
-            F.concat_ws(" · ", *counts), F.lit("\n\nRepo: `"), "repo_key", F.lit("` · "),
-            F.col("total").cast("string"), F.lit(" finding(s)\n\n"),
-        ).alias("head")
-    )
-    joined = parts.join(F.broadcast(head), F.lit(True))
-    return joined.select(
-        "part", F.concat("head", F.array_join(F.transform("blocks", lambda b: b["b"]), "\n")).alias("markdown")
+    row = report.select("passed", "gate", "repo_key", "total", *SEVERITY_RANK).first()
+    counts = " · ".join(f"{mark} {row[s]} {name.lower()}" for s, (mark, name) in TIERS.items())
+    badge = "✅ **passed**" if row["passed"] else "❌ **failed**"
+    head = (
+        f"## Scan report\n\nGate `{row['gate']}` — {badge}\n\n{counts}\n\n"
+        f"Repo: `{row['repo_key']}` · {row['total']} finding(s)\n\n"
     )
+    body = F.array_join(F.transform("blocks", lambda b: b["b"]), "\n")
+    return parts.select("part", F.concat(F.lit(head), body).alias("markdown"))
