@@ -67,27 +67,8 @@ def index_imports(files: DataFrame) -> DataFrame:
     )
 
 
-def call_sites(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per call site with a non-blank callee, with the scope needed to resolve it."""
-    callers = functions.where(F.col("n_calls") > 0).select(
-        "repo_key", F.col("file_path").alias("path"), F.col("qualified_name").alias("caller"),
-        "parent_class", "calls",
-    )
-    # functions meet their file before the calls are unfolded: fewer rows to shuffle
-    return (
-        callers.join(index_imports(files), ["repo_key", "path"])
-        .select("*", F.posexplode("calls").alias("site", "call"))
-        .drop("calls")
-        .withColumn("callee_text", F.trim("call.callee"))
-        .withColumn("line", F.coalesce("call.line", F.lit(0)))
-        .where(F.length("callee_text") > 0)
-        .drop("call")
-    )
-
-
-def _candidates() -> Column:
-    """Qualified names a call may mean, as (priority, strategy, candidate), best first."""
-    text = F.col("callee_text")
+def _candidates(text: Column) -> Column:
+    """Qualified names a call text may mean in its function, as (priority, strategy, candidate)."""
     dotted = F.contains(text, F.lit("."))
     head = F.substring_index(text, ".", 1)
     tail = text.substr(F.length(head) + 1, F.length(text))
@@ -112,17 +93,39 @@ def _candidates() -> Column:
     return F.filter(F.array(*structs), lambda c: c["candidate"].isNotNull())
 
 
+def call_sites(functions: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per call site with a non-blank callee and the names it may mean (``options``).
+
+    Functions meet their file before the calls are unfolded, and the options are worked out on the
+    nested calls, so import maps are neither shuffled nor copied per call.
+    """
+    callers = functions.where(F.col("n_calls") > 0).select(
+        "repo_key", F.col("file_path").alias("path"), F.col("qualified_name").alias("caller"),
+        "parent_class", "calls",
+    )
+    site = lambda call: F.struct(
+        F.trim(call["callee"]).alias("callee_text"),
+        F.coalesce(call["line"], F.lit(0)).alias("line"),
+        _candidates(F.trim(call["callee"])).alias("options"),
+    )
+    return (
+        callers.join(index_imports(files), ["repo_key", "path"])
+        .select("repo_key", "caller", "path", F.posexplode(F.transform("calls", site)).alias("site", "c"))
+        .select("repo_key", "caller", "path", "site", "c.*")
+        .where(F.length("callee_text") > 0)
+    )
+
+
 def resolve_calls(functions: DataFrame, files: DataFrame) -> DataFrame:
     """Every call site with the function it resolves to and the strategy, or unresolved.
 
     All candidates of a site meet the function index in one join instead of one per strategy; the
     best match is then picked by a partial aggregate.
     """
-    sites = call_sites(functions, files)
     index = functions.select("repo_key", F.col("qualified_name").alias("candidate")).distinct()
     key = ["repo_key", "caller", "path", "site"]
-    options = sites.select(
-        *key, "line", "callee_text", F.explode(_candidates()).alias("option")
+    options = call_sites(functions, files).select(
+        *key, "line", "callee_text", F.explode("options").alias("option")
     ).select(*key, "line", "callee_text", "option.*")
     # names called from everywhere make hot keys; a measuring pass would evaluate the candidates
     # twice, so this join is left to adaptive skew handling (session.SETTINGS), which splits them

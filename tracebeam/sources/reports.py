@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +61,12 @@ def write_baseline(edges: DataFrame, path: str) -> None:
 
 def read_baseline(spark: SparkSession, path: str, repo_key: str | None = None) -> DataFrame:
     """Stored baseline; a missing one is empty, so every edge then counts as new."""
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
-    if not exists:
+    try:
+        stored = spark.read.schema(BASELINE).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], BASELINE)
-    stored = spark.read.schema(BASELINE).parquet(path)
     return stored if repo_key is None else stored.where(F.col("repo_key") == repo_key)
 
 
