@@ -29,6 +29,17 @@ def test_salted_join_equals_join(spark):
         assert rows(salted.select(*plain.columns)) == rows(plain)
 
 
+def test_null_keys_are_kept_and_spread(spark):
+    left = skewed(spark).withColumn("key", F.when(F.col("id") % 3 != 0, F.col("key")))
+    right = spark.createDataFrame([("hot", 1), (None, 2)], "key string, w int")
+    plain = left.join(right, ["key"], "left")
+    salted = skew.salted_join(left, right, ["key"], ["id"], "left", rows_per_task=20)
+    assert rows(salted.select(*plain.columns)) == rows(plain)
+    hot = skew.hot_keys(left, ["key"], 20)
+    salts = skew.salt_many(left, hot, ["key"], ["id"]).where("key IS NULL").select("_salt").distinct()
+    assert salts.count() > 50
+
+
 def test_hot_keys_get_several_slices(spark):
     hot = {r["key"]: r["_slices"] for r in skew.hot_keys(skewed(spark), ["key"], 20).collect()}
     assert hot["hot"] > 5

@@ -17,6 +17,7 @@ from tracebeam.session import materialize
 
 ROWS_PER_TASK = 2_000_000
 BLOCK_ROWS = 100_000
+NULL_SLICES = 1000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -34,13 +35,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
 def salt_many(
     df: DataFrame, hot: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
 ) -> DataFrame:
-    """Give each row of a hot key one slice, chosen by a hash of ``spread_by`` (stable on retry)."""
+    """Give each row of a hot key one slice, chosen by a hash of ``spread_by`` (stable on retry).
+
+    Rows with a null key match nothing, so they may go anywhere and are spread as well.
+    """
+    spread = F.xxhash64(*spread_by)
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    slices = F.when(no_key, F.lit(NULL_SLICES)).otherwise(F.coalesce("_slices", F.lit(1)))
     return df.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt",
-        F.when(
-            F.col("_slices").isNotNull(),
-            F.pmod(F.xxhash64(*spread_by), F.col("_slices").cast("bigint")).cast("int"),
-        ).otherwise(F.lit(0)),
+        "_salt", F.pmod(spread, slices.cast("bigint")).cast("int")
     ).drop("_slices")
 
 

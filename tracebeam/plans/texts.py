@@ -215,7 +215,7 @@ def link_chat_services(t: Tables) -> DataFrame:
 
 
 @query("""SELECT DISTINCT 'INC-' || (o_orderkey % 4000) AS id, 'auto-from-chat' AS source FROM orders WHERE 'INC-' || (o_orderkey % 4000) NOT IN (SELECT id FROM v_incidents)
-    UNION ALL SELECT DISTINCT 'svc' || (o_custkey % 25), 'auto-from-chat' FROM orders WHERE o_custkey % 25 >= 20""")
+    UNION ALL SELECT DISTINCT 'svc' || (o_custkey % 25), 'auto-from-chat' FROM orders WHERE 'svc' || (o_custkey % 25) NOT IN (SELECT name FROM v_services)""")
 def mention_stubs(t: Tables) -> DataFrame:
     links = ex.link_mentions(messages(t), t.incidents, t.services)
     return links["incident_stubs"].unionByName(links["service_stubs"].select(F.col("name").alias("id"), "source"))
