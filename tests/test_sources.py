@@ -185,10 +185,10 @@ def test_upsert_rules(spark):
     schema = "k string, v string, stub boolean, n int"
     old = spark.createDataFrame([("a", "full", False, 0), ("b", "stub", True, 0)], schema)
     new = spark.createDataFrame([("a", "stub", True, 1), ("b", "new", False, 1), ("b", None, False, 2), ("c", "stub", True, 1)], schema)
-    merged = tb.upsert(old, new, ["k"], "n", F.col("stub"))
+    merged = tb.upsert(old, new, ["k"], "n", "stub")
     rows = {r["k"]: r["v"] for r in merged.collect()}
     assert rows == {"a": "full", "b": None, "c": "stub"}
-    again = tb.upsert(merged, new, ["k"], "n", F.col("stub"))
+    again = tb.upsert(merged, new, ["k"], "n", "stub")
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, merged.collect()), key=repr)
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CLAIMS = (
-    "struct<claims: array<struct<claim: string, supported: string, citation: string, "
-    "reason: string>>>"
-)
+CLAIM_LIST = "array<struct<claim: string, supported: string, citation: string, reason: string>>"
+CLAIMS = f"struct<claims: {CLAIM_LIST}>"
+# Where a reply in prose may hold its JSON object.
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 BARE = r'(?s)(\{[^{}]*"claims".*\})'
 
@@ -45,7 +44,8 @@ def claims_object(text: Column) -> Column:
 def claims(text: Column, cap: int = 8) -> Column:
     """Claims of a verifier reply: first ``cap`` entries, blank ones dropped, fields normalised."""
     parsed = F.from_json(claims_object(text), CLAIMS)["claims"]
-    first = F.slice(F.coalesce(parsed, F.from_json(F.lit("[]"), CLAIMS[len("struct<claims: "):-1])), 1, cap)
+    none = F.array().cast(CLAIM_LIST)
+    first = F.slice(F.coalesce(parsed, none), 1, cap)
 
     def usable(entry: Column) -> Column:
         return F.coalesce(F.length(F.trim(entry["claim"])) > 0, F.lit(False))

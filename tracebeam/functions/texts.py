@@ -17,6 +17,8 @@ VOLATILE_TOKEN = (
     "|[0-9]+(?:[.][0-9]+)?"
 )
 SIGNATURE_CHARS = 200
+
+# Form of incident ids, folders after which a repository begins, empty answer.
 INCIDENT_ID = r"(?i)\b(INC(?:IDENT)?-?[0-9][\w-]*)"
 PATH_MARKERS = ("/GitHub/", "/github.com/", "/src/")
 NO_RESPONSE = "(no assistant response captured)"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracebeam.functions.scores import decay
 from tracebeam.functions.texts import explicit_reference
-from tracebeam.functions.times import seconds_between, seconds_of, shift
+from tracebeam.functions.times import instant, seconds_between, seconds_of, shift
 from tracebeam.operators.skew import ROWS_PER_TASK, first_per_key, interval_join
 
 # Scoring constants and strategy names.
@@ -313,8 +313,6 @@ def recent_incident_causes(
     The newest ``limit`` incidents are taken first and the ones without causes dropped after, so
     fewer rows may come back.
     """
-    from tracebeam.functions.times import instant
-
     age = seconds_between(F.col("detected_at"), instant(as_of)) / 3600.0
     recent = (
         incidents.where(F.col("detected_at").isNotNull() & (F.floor(age) <= lookback_hours))

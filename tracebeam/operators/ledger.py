@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracebeam.functions.texts import strip
 from tracebeam.functions.times import instant, trailing
 from tracebeam.operators.skew import first_per_key, range_blocks, running_total
 
@@ -13,6 +14,10 @@ BAR_WIDTH = 30
 FIX_CONFIDENCE_GATE = 0.6
 EMBED_ONLY_TOKENS = 100
 
+# The two forms in which a reply may hold a diff.
+FENCED_DIFF = r"(?s)```(?:diff|patch)?\n(.*?)\n```"
+BARE_DIFF = r"(?s)(--- [^\n]+\n\+\+\+ [^\n]+\n@@.*)"
+
 
 def cost_totals(costs: DataFrame, as_of, days: int = 30) -> DataFrame:
     return trailing(costs, "ts", days, as_of).agg(
@@ -172,7 +177,7 @@ def fix_confidence(top_causes: DataFrame, replay_confidence: DataFrame) -> DataF
     return replay_confidence.join(best, "incident_id", "left").select(
         "incident_id",
         F.coalesce(F.bround(F.least("top", "score"), 4), F.lit(0.0)).alias("confidence_score"),
-    ).withColumn("confidence_score", F.col("confidence_score"))
+    )
 
 
 def fix_context(causes: DataFrame, services: DataFrame, max_files: int = 5) -> DataFrame:
@@ -196,13 +201,9 @@ def fix_context(causes: DataFrame, services: DataFrame, max_files: int = 5) -> D
 
 def parse_diffs(replies: DataFrame) -> DataFrame:
     """Diff body (fenced or bare), files it touches and a headline per reply."""
-    from tracebeam.functions.texts import strip
-
     text = F.col("reply")
-    fenced = r"(?s)```(?:diff|patch)?\n(.*?)\n```"
-    bare = r"(?s)(--- [^\n]+\n\+\+\+ [^\n]+\n@@.*)"
     grab = lambda pattern: F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1)))
-    body = F.coalesce(grab(fenced), grab(bare))
+    body = F.coalesce(grab(FENCED_DIFF), grab(BARE_DIFF))
     diff = F.coalesce(F.concat(body, F.lit("\n")), F.lit(""))
     lines = F.split(F.col("diff"), "\r\n|\n|\r")
     added = F.filter(lines, lambda x: F.startswith(x, F.lit("+++ ")))

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.functions.times import between_times
+from tracebeam.functions.scores import is_shift, shift_confidence, shift_ratio
+from tracebeam.functions.texts import log_signature, signature_hash
+from tracebeam.functions.times import between_times, instant, shift
 from tracebeam.operators.skew import first_per_key
 
 RUNTIME_LABELS = ("Service", "Deployment", "MetricShift", "LogSignature", "Incident")
@@ -267,8 +269,6 @@ def metric_as_of(samples: DataFrame, as_of, offsets: Mapping[str, float]) -> Dat
 
     ``offsets`` maps an output column to the seconds before ``as_of`` it looks at.
     """
-    from tracebeam.functions.times import instant, shift
-
     def last_value(seconds: float) -> Column:
         seen = F.col("ts") <= shift(instant(as_of), -seconds)
         return F.max_by(F.when(seen, F.col("value")), F.when(seen, F.col("ts")))
@@ -286,9 +286,6 @@ def metric_shifts(
     current_seconds: float = 60,
 ) -> DataFrame:
     """Metrics whose value left the band around the value ``baseline_seconds`` earlier."""
-    from tracebeam.functions.scores import is_shift, shift_confidence, shift_ratio
-    from tracebeam.functions.times import instant, shift
-
     points = metric_as_of(samples, as_of, {"before": baseline_seconds, "after": 0.0})
     ratio = shift_ratio(F.col("before"), F.col("after"))
     return (
@@ -318,9 +315,6 @@ def cluster_logs(
 
     Of each service the newest ``limit`` matching lines take part, as a log query would return.
     """
-    from tracebeam.functions.texts import log_signature, signature_hash
-    from tracebeam.functions.times import instant, shift
-
     matching = lines.where(F.col("message").rlike(f"(?i){level}"))
     if as_of is not None:
         since = shift(instant(as_of), -lookback)

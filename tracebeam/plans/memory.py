@@ -233,8 +233,8 @@ def upsert(t: Tables) -> DataFrame:
     )
     even = rows.where(F.col("seq") % 2 == 0)
     # an existing table holds one row per key: the first load merges the even rows alone
-    first = tb.upsert(even.limit(0), even, ["service"], "seq", F.col("is_stub"))
-    return tb.upsert(first, rows.where(F.col("seq") % 2 == 1), ["service"], "seq", F.col("is_stub"))
+    first = tb.upsert(even.limit(0), even, ["service"], "seq", "is_stub")
+    return tb.upsert(first, rows.where(F.col("seq") % 2 == 1), ["service"], "seq", "is_stub")
 
 
 REMEMBER_SQL = """WITH RECURSIVE near AS (SELECT query_id AS i, list(id) AS js FROM v_sims WHERE id < query_id AND sim >= 0.3 GROUP BY 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,12 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+def register_views(tables: Mapping[str, DataFrame]) -> None:
+    """Make tables available to ``spark.sql`` under their names, for ad-hoc queries."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
