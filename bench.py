@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 HEADLINE = (
     "rank_causes", "link_incidents", "link_stats", "state_diff_deployments", "cluster_logs",
     "detect_drift", "resolve_calls", "cost_aggregates", "pair_turns", "vector_search",
-    "hybrid_retrieve", "cache_lookup", "remember_batch",
+    "hybrid_retrieve", "cache_lookup", "remember_batch", "scan_findings", "code_structure",
 )
 
 

@@ -100,6 +100,13 @@ def test_link_stats_count_everything(cascade):
     assert (stats["inspected"], stats["written"], stats["skipped_after"], stats["skipped_low"]) == (4, 2, 1, 1)
 
 
+def test_slicing_hot_buckets_changes_nothing(tables):
+    columns = ["incident_id", "kind", "event_key", "at", "confidence"]
+    plain = ca.link_incidents(tables.incidents, tables.causes).select(columns)
+    sliced = ca.link_incidents(tables.incidents, tables.causes, rows_per_task=1).select(columns)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sliced.collect()))
+
+
 def test_links_are_replaced_per_environment(spark, cascade, tmp_path):
     links = ca.link_incidents(cascade["incidents"], causes_of(cascade))
     for _ in range(2):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracebeam.functions import jsons, texts, times
@@ -209,6 +211,17 @@ def test_globs(spark):
         assert one(spark, texts.glob_match(F.lit(text), pattern)) is expected
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab-c.*?[]!^", max_size=8), st.text("abc.-!^[]", max_size=5))
+def test_globs_agree_with_shell_matching(pattern, text):
+    import fnmatch
+    import re
+
+    # the end anchor is written \\z in Java and \\Z in Python
+    regex = texts.glob_regex(pattern).replace(r"\z", r"\Z")
+    assert bool(re.match(regex, text)) == fnmatch.fnmatchcase(text, pattern)
+
+
 def test_incident_ids(spark):
     for text, expected in {"INC-2026-04-12-payments-cascade": "INC-2026-04-12-payments-cascade", "see incident-99": "incident-99", "INC1234 happened": "INC1234", "INCIDENT-99 affecting auth": "INCIDENT-99"}.items():
         assert one(spark, texts.incident_ids(F.lit(text))) == [expected]

@@ -56,29 +56,46 @@ def mentioned_names(text: Column, names: Sequence[str]) -> Column:
     )
 
 
+def _char_class(body: str) -> str:
+    """Regex for the inside of a glob bracket; an empty range matches nothing."""
+    negated = body.startswith("!")
+    body = body[1:] if negated else body
+    items, i = [], 0
+    while i < len(body):
+        if body[i + 1 : i + 2] == "-" and i + 2 < len(body):
+            if body[i] <= body[i + 2]:
+                items.append(f"{_literal(body[i])}-{_literal(body[i + 2])}")
+            i += 3
+        else:
+            items.append(_literal(body[i]))
+            i += 1
+    if not items:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{''.join(items)}]"
+
+
+def _literal(char: str) -> str:
+    return char if char.isalnum() or char == "_" else "\\" + char
+
+
 def glob_regex(pattern: str) -> str:
-    """Anchored Java regex of a shell glob; ``*`` also crosses dots and slashes."""
+    """Anchored regex of a shell glob; ``*`` also crosses dots and slashes."""
     out, i = [], 0
     while i < len(pattern):
         char = pattern[i]
-        close = pattern.find("]", i + 2) if char == "[" else -1
+        first = i + 2 if pattern[i + 1 : i + 2] == "!" else i + 1
+        close = pattern.find("]", first + 1) if char == "[" else -1
         if char == "*":
             out.append(".*")
         elif char == "?":
             out.append(".")
         elif close > 0:
-            members = pattern[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[")
-            members = members.replace("&&", "&\\&")
-            if members[0] == "!":
-                members = "^" + members[1:]
-            elif members[0] == "^":
-                members = "\\" + members
-            out.append(f"[{members}]")
+            out.append(_char_class(pattern[i + 1 : close]))
             i = close
         else:
-            out.append("\\" + char if not char.isalnum() and char != "_" else char)
+            out.append(_literal(char))
         i += 1
-    return "(?s)^" + "".join(out) + "$"
+    return "(?s)^" + "".join(out) + "\\z"
 
 
 def glob_match(col: Column, pattern: str) -> Column:

@@ -11,7 +11,7 @@ from tracebeam.plans.causality import six
 from tracebeam.plans.code import BOUNDARIES
 from tracebeam.plans.registry import query
 from tracebeam.plans.views import Tables, text
-from tracebeam.session import scratch_path
+from tracebeam.session import scratch_path, spread
 from tracebeam.sources import reports, runtime_files, source_tree, transcripts
 
 
@@ -155,7 +155,7 @@ def python_files(t: Tables) -> DataFrame:
         n, F.lit("(a, b=(1, 2)):\n    await c.go(a)\n    return helper(b)\n"),
         F.when(F.col("p_partkey") % 10 == 9, "def broken(:\n").otherwise(""),
     )
-    return t.raw("part").select(
+    return spread(t.raw("part")).select(
         F.lit("repo").alias("repo_key"), text("=pkg/m", "p_partkey", "=.py").alias("path"), F.lit("python").alias("language"),
         text("=pkg.m", "p_partkey").alias("module_name"), source.alias("source"),
     )

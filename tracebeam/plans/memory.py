@@ -15,6 +15,7 @@ from tracebeam.operators import transcripts as tr
 from tracebeam.plans.causality import six
 from tracebeam.plans.registry import query
 from tracebeam.plans.views import AS_OF, Tables, text
+from tracebeam.session import spread
 
 TOP = """SELECT query_id, id, qualified_name, parent, repo_key, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM v_sims"""
 
@@ -268,7 +269,7 @@ def remember_batch(t: Tables) -> DataFrame:
 @query()
 def remember_documents(t: Tables) -> DataFrame:
     """All documents as questions, embedded by feature hashing; copies and near copies fold."""
-    incoming = t.raw("documents").select(
+    incoming = spread(t.raw("documents")).select(
         F.col("doc_id").alias("seq"), F.col("lang").alias("repo_key"), F.col("text").alias("question"),
         hash_embedding(F.col("text")).alias("vector"),
     )

@@ -50,6 +50,15 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a frame read in fewer partitions than there are cores, before costly Python work.
+
+    Inputs that already come in enough partitions are left alone, so large ones are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
