@@ -58,6 +58,9 @@ LOOKALIKES = dict(
 )
 INVISIBLE = "­​‌‍⁠﻿"
 
+# fixed values: last labels that make "x at y dot z" without brackets an address rather than prose
+LAST_LABELS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|ch|at|it|nl|biz|dev|app"
+
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 # two digit words in a row, or a sign or digit beside one: only then spelled digits matter
 _SPELLED = re.compile(rf"(?:{_WORDS}|[0-9.])[ ,.-]+(?:{_WORDS})(?![^\W_])|(?:{_WORDS})[ ,.-]+[0-9]")
@@ -66,9 +69,10 @@ _BRACKETED = re.compile(r"[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]")
 _ODD = re.compile(f"[{INVISIBLE}Ͱ-ԯ․！-～⁰-ₜ\U0001d400-\U0001d7ff﹒﹫]")
 _PIECE = re.compile(
     rf"""(?P<odd>{_ODD.pattern})
-    |(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*)
-    |(?P<dot>\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)
-    |(?P<bare_at>(?<=\w)\ +at\ +(?=[\w-]+(?:\.[\w-]+)*(?:\ +dot\ +|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)[\w-]))
+    |(?P<at>(?:(?<!\s)\s++)?[\[({{<]\s*+(?:at|@)\s*+[\])}}>]\s*+)
+    |(?P<dot>(?:(?<!\s)\s++)?[\[({{<]\s*+(?:dot|\.)\s*+[\])}}>]\s*+)
+    |(?P<bare_at>(?<=\w)\ +at\ +(?=[\w-]+(?:(?:\.|\ +dot\ +|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)[\w-]+)*?
+        (?:\.|\ +dot\ +|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)(?:{LAST_LABELS})(?![\w-])))
     |(?P<bare_dot>(?<=\w)\ +dot\ +(?=\w))
     |(?P<plus>(?<![^\W_])plus\ +(?=(?:{_WORDS}|[0-9])(?![^\W\d_])))
     |(?P<digit>(?<![^\W\d_])(?P<word>{_WORDS})(?![^\W\d_])(?:[ -](?=(?:{_WORDS}|[0-9])(?![^\W\d_])))?)
