@@ -25,7 +25,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 #: metric -> narrowest spread (in its unit) that counts as one quartile distance
-METRICS = {"word_length": 100, "symbols": 60, "dup_lines": 60, "repeats": 40}
+METRICS = {"word_length": 100, "symbols": 60, "dup_lines": 150, "repeats": 40}
 MIN_GROUP = 200
 FENCE = 4
 
