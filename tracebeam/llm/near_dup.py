@@ -11,6 +11,11 @@ pair across components whose signatures agree enough is confirmed as well. Pairs
 cannot change the result and are never made. A pair of similarity 0.8 shares no region with
 probability (1 - 0.8^4)^24 = 3e-6; nothing else is left out.
 
+Two exact tests keep pairs few in a crowd of near copies: a pair is made only in the first tree that
+joins it, and only if it could be similar at all. A shingle that a single text holds can be in no
+intersection, so the other shingles of either text bound the intersection from above; texts at the
+rim of a crowd, with too many shingles of their own, drop out without a comparison.
+
 Regions are split into blocks of ``BLOCK`` members, so no task holds a region and no pair is emitted
 before the signature test. Texts are shuffled only if they are candidates.
 
@@ -33,13 +38,13 @@ from tracebeam.session import materialize
 
 SHINGLE = 5
 PERCENT = 80
-TREES, LEAST_DEPTH, DEPTH = 24, 4, 6
+TREES, LEAST_DEPTH, DEPTH = 24, 4, 8
 VALUE_BYTES = 2
 DENSE = 32
 BLOCK = 256
 LEADERS = 2
-# five standard deviations below 0.8 over 144 values
-AGREE = 0.633
+# four and a half standard deviations below 0.8 over 192 values: missed with probability 3e-6
+AGREE = 0.67
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(7)
@@ -172,17 +177,53 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     )
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, block: int) -> DataFrame:
-    """(a, b): pairs of one region and different components whose signatures agree enough."""
+def own_counts(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, own): how many shingles of each text no other text of ``texts`` holds (none: no row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for lo in range(0, len(ids), 64):
+                sets = [
+                    shingle_hashes(word_list(t.as_py()), shingle, xxhash.xxh3_64_intdigest)
+                    for t in batch.column(1)[lo : lo + 64]
+                ]
+                owners = np.repeat(np.array(ids[lo : lo + 64], np.int64), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sets).view(np.int64)), pa.array(owners)], ["h", "id"]
+                )
+
+    owners = (
+        texts.select("doc_id", "text").mapInArrow(run, "h long, id long")
+        .groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    )
+    return owners.where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def cross_pairs(
+    members: DataFrame, labels: DataFrame, heads: DataFrame, texts: DataFrame,
+    shingle: int, percent: int, block: int,
+) -> DataFrame:
+    """(a, b): pairs of one region and different components that may be similar enough."""
     labelled = checked_lookup(
         members.select("tree", "near", "id"), labels.withColumnRenamed("node", "id"), ["id"], "labels"
     ).select("tree", "near", "id", F.coalesce("component", "id").alias("component"))
     open_regions = labelled.groupBy("tree", "near").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")
     ).where("lo < hi").select("tree", "near", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    cut = labelled.join(open_regions, ["tree", "near"]).withColumn(
-        "mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cut = materialize(
+        labelled.join(open_regions, ["tree", "near"]).withColumn(
+            "mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        ),
+        "open-regions",
     )
+    ids = sized(cut.select(F.col("id").alias("_id")).distinct(), "open-texts")
+    own = own_counts(texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"), shingle)
+    facts = heads.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select(
+        F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sig"
+    ).join(own, "id", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
     # block pair (x, y) with x <= y holds the members of both; a block alone meets itself
     placed = cut.select(
         "tree", "near", "id", "component", "mine",
@@ -191,22 +232,27 @@ def cross_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, block:
         "tree", "near", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
         "id", "component",
     )
-    sigs = heads.select(F.col("doc_id").alias("id"), "sig")
     keys = ["tree", "near", "x", "y"]
-    grouped = placed.join(sigs, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+    grouped = placed.join(facts, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
 
-    def pairs_of(ids: list, marks: list, sigs_: list) -> Iterator[tuple[int, int]]:
-        table = np.frombuffer(b"".join(sigs_), np.uint16).reshape(len(ids), -1)
-        marks = np.array(marks)
+    def pairs_of(tree: int, ids: list, marks: list, sizes: list, common: list, sigs: list):
+        table = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), TREES, DEPTH)
+        marks, sizes, common = np.array(marks), np.array(sizes), np.array(common)
         for k in range(len(ids) - 1):
-            near = (table[k + 1 :] == table[k]).mean(axis=1) >= AGREE
-            for j in np.flatnonzero(near & (marks[k + 1 :] != marks[k])):
-                a, b = ids[k], ids[k + 1 + int(j)]
-                yield (a, b) if a < b else (b, a)
+            rest = slice(k + 1, None)
+            both = np.minimum(common[rest], common[k])
+            able = 100 * both >= percent * (sizes[rest] + sizes[k] - both)
+            js = k + 1 + np.flatnonzero(able & (marks[rest] != marks[k]))
+            if not len(js):
+                continue
+            same = table[js] == table[k]
+            earlier = same[:, :tree, :LEAST_DEPTH].all(axis=2).any(axis=1)
+            for j in js[(same.mean(axis=(1, 2)) >= AGREE) & ~earlier]:
+                yield min(ids[k], ids[j]), max(ids[k], ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple = ()
-        held: tuple[list, list, list] = ([], [], [])
+        group: tuple = (0,)
+        held: tuple[list, ...] = ([],)
         found: set[tuple[int, int]] = set()
 
         def out() -> pa.RecordBatch:
@@ -217,21 +263,22 @@ def cross_pairs(members: DataFrame, labels: DataFrame, heads: DataFrame, block:
             )
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(7)]
-            for row in zip(*cols):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:4] != group:
                     if len(held[0]) > 1:
-                        found.update(pairs_of(*held))
-                    group, held = row[:4], ([], [], [])
+                        found.update(pairs_of(group[0], *held))
+                    group, held = row[:4], ([], [], [], [], [])
                 for at, value in enumerate(row[4:]):
                     held[at].append(value)
             if len(found) > 100_000:
                 yield out()
         if len(held[0]) > 1:
-            found.update(pairs_of(*held))
+            found.update(pairs_of(group[0], *held))
         yield out()
 
-    return grouped.select(*keys, "id", "component", "sig").mapInArrow(run, "a long, b long").distinct()
+    return grouped.select(*keys, "id", "component", "size", "common", "sig").mapInArrow(
+        run, "a long, b long"
+    ).distinct()
 
 
 def near_duplicates(
@@ -249,7 +296,7 @@ def near_duplicates(
     placed = checked_lookup(sets, copies, names, "copies").withColumn(
         "head", F.coalesce("head", "doc_id")
     )
-    heads = placed.where("n_shingles > 0 and doc_id = head").select("doc_id", "sig")
+    heads = placed.where("n_shingles > 0 and doc_id = head").select("doc_id", "n_shingles", "sig")
     members = materialize(regions(heads), "regions")
 
     ids = sized(members.select(F.col("id").alias("_id")).distinct(), "candidates")
@@ -261,7 +308,7 @@ def near_duplicates(
     tried = materialize(leader_pairs(members, leaders, dense), "leader-pairs")
     linked = materialize(confirmed(tried, texts, shingle, percent), "linked")
     labels = components(linked)
-    rest = cross_pairs(members, labels, heads, block).join(
+    rest = cross_pairs(members, labels, heads, texts, shingle, percent, block).join(
         tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     )
     more = materialize(confirmed(rest, texts, shingle, percent), "linked")
