@@ -23,8 +23,8 @@ from tracebeam.operators.skew import numbered
 from tracebeam.session import materialize
 
 SHARDS = 24
-ROUNDS = 4
-SLACK = 1.05
+ROUNDS = 3
+WIDEST = 1.0  # room beyond an even share in the first round
 ROW_BYTES = 8
 GRADES = 256
 
@@ -35,15 +35,17 @@ def linked_parts(rows: DataFrame, hub: str, spread_by: str, most: int) -> DataFr
     return sizes.where("n > 1").select(hub, F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
-def propagate(members: DataFrame, loads: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(members: DataFrame, loads: DataFrame, share: int, rounds: int = ROUNDS) -> DataFrame:
     """``members`` (node, hub, label; one hub per row) with labels moved; ``loads`` (label, n) counts
     the rows without links.
 
     One round: each hub's commonest label is its target, unless it has it already. Targets accept
     moves by grade (size of the hub in doublings, then a hash), as long as the sum fits the room that
-    is left; the room counts everything that is there before the round, so no quota is overrun.
+    is left; the room counts everything that is there before the round, so no quota is overrun. Quotas
+    start wide, since rows move out while others move in, and tighten from round to round.
     """
-    for _ in range(rounds):
+    for step in range(rounds):
+        quota = int(share * (1 + WIDEST / (1 + step))) + 1
         counts = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
         targets = counts.groupBy("hub").agg(
             F.max_by("label", F.struct("n", F.xxhash64("hub", "label"))).alias("target"),
@@ -98,8 +100,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     placed = materialize(placed, "shard-placed")
     loads = placed.where("hub is null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     members = propagate(
-        placed.where("hub is not null"), materialize(loads, "shard-loads"), int(per_shard * SLACK) + 1, rounds
+        placed.where("hub is not null"), materialize(loads, "shard-loads"), per_shard, rounds
     )
+    # what the quotas kept apart takes the hub's commonest label; the cut restores the even counts
+    last = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(
+        F.max_by("label", F.struct("n", F.xxhash64("hub", "label"))).alias("final")
+    )
+    members = checked_lookup(members, last, ["hub"], "shard-final").withColumn("label", F.col("final")).drop("final")
     everything = placed.where("hub is null").unionByName(members).withColumn(
         "order_hub", F.coalesce("hub", F.xxhash64("doc_id"))
     )

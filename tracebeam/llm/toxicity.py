@@ -31,8 +31,10 @@ from tracebeam.session import materialize
 SAMPLE = 20_000
 FEATURES = 1 << 18
 FOLDS = 4
-EPOCHS = 60
-RIDGE = 1e-3
+EPOCHS = 80
+RIDGE = 1e-4
+CHI_SQUARED = 10.8  # one in a thousand by chance
+SIGNS = tuple(b"%c" % c for c in b"!#$%&*<>=@|")
 WORD_BOUNDARY = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
     for b in range(256)
@@ -40,30 +42,32 @@ WORD_BOUNDARY = bytes(
 
 
 def features(text: str | None, crc) -> np.ndarray:
-    """Hashed distinct words of a whole text; letters and digits make words."""
-    words = set((text or "").encode("utf-8", "surrogatepass").translate(WORD_BOUNDARY).split())
-    return np.unique(np.fromiter(map(crc, words), np.int64, len(words)) % FEATURES).astype(np.int32)
+    """Hashed distinct words and signs of a whole text; letters and digits make words."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    found = set(raw.translate(WORD_BOUNDARY).split())
+    found.update(s for s in SIGNS if s in raw)
+    return np.unique(np.fromiter(map(crc, found), np.int64, len(found)) % FEATURES).astype(np.int32)
 
 
 class Design:
-    """Rows of hashed features in flat arrays, scaled to unit length, with extra dense columns."""
+    """Rows of hashed features in flat arrays, with extra dense columns."""
 
     def __init__(self, rows: list[np.ndarray], extra: np.ndarray):
         self.n = len(rows)
-        sizes = np.array([len(r) for r in rows], np.int64)
         self.flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        self.row = np.repeat(np.arange(self.n), sizes)
-        self.weight = 1 / np.sqrt(np.maximum(sizes, 1))[self.row]
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
         self.extra = extra
 
     def linear(self, w: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        sparse = np.bincount(self.row, w[self.flat] * self.weight, self.n)
-        return sparse + dense[0] + self.extra @ dense[1:]
+        return np.bincount(self.row, w[self.flat], self.n) + dense[0] + self.extra @ dense[1:]
 
-    def part(self, keep: np.ndarray) -> Design:
+    def part(self, keep: np.ndarray, of_features: np.ndarray | None = None) -> Design:
+        """The rows ``keep``, with all features or those marked in ``of_features``."""
         out = object.__new__(Design)
-        out.n, chosen = int(keep.sum()), keep[self.row]
-        out.flat, out.weight = self.flat[chosen], self.weight[chosen]
+        chosen = keep[self.row]
+        if of_features is not None:
+            chosen &= of_features[self.flat]
+        out.n, out.flat = int(keep.sum()), self.flat[chosen]
         out.row = (np.cumsum(keep) - 1)[self.row[chosen]]
         out.extra = self.extra[keep]
         return out
@@ -73,8 +77,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def telling(design: Design, target: np.ndarray) -> np.ndarray:
+    """Features whose presence depends on the category (chi-squared above CHI_SQUARED)."""
+    n, p = design.n, target.sum()
+    seen = np.bincount(design.flat, minlength=FEATURES).astype(float)
+    hits = np.bincount(design.flat, target[design.row], FEATURES)
+    spread = np.maximum(seen * (n - seen) * p * (n - p), 1e-9)
+    return n * (hits * n - seen * p) ** 2 / spread > CHI_SQUARED
+
+
 def fit(design: Design, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of a ridge logistic regression by AdaGrad on the whole sample."""
+    """Weights of a ridge logistic regression on the telling features, by AdaGrad."""
     w, dense = np.zeros(FEATURES), np.zeros(1 + design.extra.shape[1])
     positives = target.sum()
     if design.n == 0:
@@ -82,17 +95,21 @@ def fit(design: Design, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if positives in (0, design.n):
         dense[0] = np.log((positives + 0.5) / (design.n - positives + 0.5))
         return w, dense
-    sum_w, sum_d = np.full(FEATURES, 1e-12), np.full(len(dense), 1e-12)
+    design = design.part(np.ones(design.n, bool), telling(design, target))
+    used, design.flat = np.unique(design.flat, return_inverse=True)
+    v, sum_v = np.zeros(len(used)), np.full(len(used), 1e-12)
+    sum_d = np.full(len(dense), 1e-12)
     # both classes weigh alike
     balance = np.where(target > 0, 0.5 / positives, 0.5 / (design.n - positives))
     for _ in range(EPOCHS):
-        error = (sigmoid(design.linear(w, dense)) - target) * balance
-        step_w = np.bincount(design.flat, error[design.row] * design.weight, FEATURES) + RIDGE * w / design.n
+        error = (sigmoid(design.linear(v, dense)) - target) * balance
+        step_v = np.bincount(design.flat, error[design.row], len(used)) + RIDGE * v
         step_d = np.concatenate([[error.sum()], design.extra.T @ error])
-        sum_w += step_w**2
+        sum_v += step_v**2
         sum_d += step_d**2
-        w -= 0.5 * step_w / np.sqrt(sum_w)
-        dense -= 0.2 * step_d / np.sqrt(sum_d)
+        v -= 0.3 * step_v / np.sqrt(sum_v)
+        dense -= 0.3 * step_d / np.sqrt(sum_d)
+    w[used] = v
     return w, dense
 
 
@@ -201,10 +218,9 @@ def toxicity(
             odds = np.zeros((batch.num_rows, len(categories)))
             for i, value in enumerate(batch.column(1)):
                 at = features(value.as_py(), crc32)
-                scale = 1 / np.sqrt(max(len(at), 1))
                 for k, (w, dense, _) in enumerate(model):
                     earlier = np.clip(odds[i, :k], -10, 10) / 10
-                    odds[i, k] = w[at].sum(dtype=np.float64) * scale + dense[0] + earlier @ dense[1:]
+                    odds[i, k] = w[at].sum(dtype=np.float64) + dense[0] + earlier @ dense[1:]
             out = [batch.column(0)]
             for k in range(len(categories)):
                 cut = model[k][2] if model else np.inf
