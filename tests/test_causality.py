@@ -114,6 +114,17 @@ def test_links_are_replaced_per_environment(spark, cascade, tmp_path):
     assert spark.read.parquet(str(tmp_path / "links")).count() == 2
 
 
+def test_relinking_one_incident_keeps_the_others(spark, cascade, tmp_path):
+    path, links = str(tmp_path / "links"), ca.link_incidents(cascade["incidents"], causes_of(cascade))
+    other = links.withColumn("incident_id", F.lit("INC-9"))
+    ca.write_links(links.unionByName(other), path)
+    ca.write_links(other.limit(1), path)
+    stored = {r["incident_id"]: r["count"] for r in spark.read.parquet(path).groupBy("incident_id").count().collect()}
+    assert stored == {"INC-1": 2, "INC-9": 1}
+    ca.write_links(links.limit(0), path, incidents=other)
+    assert {r["incident_id"] for r in spark.read.parquet(path).collect()} == {"INC-1"}
+
+
 def test_replay_parts(cascade):
     links = ca.link_incidents(cascade["incidents"], causes_of(cascade))
     parts = rp.replay(cascade, links, ["INC-1"])

@@ -201,6 +201,14 @@ def test_rewrite_of_the_path_being_read(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_rewrite_drops_a_whole_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).selectExpr("id", "concat('r', id % 2) repo_key").write.partitionBy("repo_key").parquet(path)
+    kept, _ = tb.delete_where(spark.read.parquet(path), F.col("repo_key") == "r0")
+    tb.rewrite(kept, path, ["repo_key"])
+    assert {r["repo_key"] for r in spark.read.parquet(path).collect()} == {"r1"}
+
+
 def test_missing_baseline_is_empty(spark, tmp_path):
     assert reports.read_baseline(spark, str(tmp_path / "none")).count() == 0
 

@@ -15,6 +15,7 @@ from tracebeam.functions.scores import decay
 from tracebeam.functions.texts import explicit_reference
 from tracebeam.functions.times import instant, seconds_between, seconds_of, shift
 from tracebeam.operators.skew import ROWS_PER_TASK, first_per_key, interval_join
+from tracebeam.operators.tables import replace_scopes
 
 # Scoring constants and strategy names.
 HALF_LIFE_SECONDS = 300.0
@@ -246,14 +247,14 @@ def link_incidents(
     return derive_text(scored, half_life).select(*PRECEDED_COLUMNS)
 
 
-def write_links(preceded: DataFrame, path: str) -> None:
-    """Replace the edges of the environments present in ``preceded``; others stay."""
-    (
-        preceded.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("env_key")
-        .parquet(path)
-    )
+def write_links(preceded: DataFrame, path: str, incidents: DataFrame | None = None) -> None:
+    """Replace the stored edges of ``incidents`` (env_key, incident_id); those of others stay.
+
+    ``incidents`` names what was linked, so an incident that lost all its causes loses its edges;
+    without it only the incidents present in ``preceded`` are replaced.
+    """
+    linked = preceded if incidents is None else incidents
+    replace_scopes(preceded, path, linked.select("env_key", "incident_id"), ["env_key"])
 
 
 def link_stats(

@@ -62,14 +62,12 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session may go without it; there a fresh temporary folder is used.
+    Where it is unset it is set to a folder in the warehouse, which a cluster shares as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-    fallback = tempfile.mkdtemp(prefix="tracebeam-")
+    fallback = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracebeam import schemas
 from tracebeam.operators.drift import SEVERITY_RANK, severity_rank
 from tracebeam.operators.skew import numbered
+from tracebeam.operators.tables import replace_scopes
 from tracebeam.sources.documents import file_stem, read_documents
 
 # Report levels, headings and icons per severity.
@@ -51,12 +52,14 @@ BASELINE = (
 )
 
 
-def write_baseline(edges: DataFrame, path: str) -> None:
-    """Replace the stored baseline of the repositories in ``edges``; others stay."""
-    (
-        edges.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repo_key").parquet(path)
-    )
+def write_baseline(edges: DataFrame, path: str, repos: DataFrame | None = None) -> None:
+    """Replace the stored baseline of ``repos`` (repo_key); those of other repositories stay.
+
+    A repository listed without edges ends up with an empty baseline; without the list only the
+    repositories present in ``edges`` are replaced.
+    """
+    captured = edges if repos is None else repos
+    replace_scopes(edges, path, captured.select("repo_key"), ["repo_key"])
 
 
 def read_baseline(spark: SparkSession, path: str, repo_key: str | None = None) -> DataFrame:
