@@ -14,7 +14,9 @@ probability (1 - 0.8^4)^24 = 3e-6; nothing else is left out.
 Two exact tests keep pairs few in a crowd of near copies: a pair is made only in the first tree that
 joins it, and only if it could be similar at all. A shingle that a single text holds can be in no
 intersection, so the other shingles of either text bound the intersection from above; texts at the
-rim of a crowd, with too many shingles of their own, drop out without a comparison.
+rim of a crowd, with too many shingles of their own, drop out without a comparison. Texts of open
+regions also get a longer signature of ``FINE`` values, which tells 0.74 from 0.8 at the same odds
+of a miss as the short one, so pairs that are merely alike are not read in full.
 
 Regions are split into blocks of ``BLOCK`` members, so no task holds a region and no pair is emitted
 before the signature test. Texts are shuffled only if they are candidates.
@@ -45,12 +47,16 @@ BLOCK = 256
 LEADERS = 2
 # four and a half standard deviations below 0.8 over 192 values: missed with probability 3e-6
 AGREE = 0.67
+# the same distance over 1024 values, one byte each, taken of texts in open regions only
+FINE, FINE_AGREE = 1024, 0.743
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ODD = _RANDOM.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_A = _RANDOM.integers(0, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_B = _RANDOM.integers(0, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -80,14 +86,30 @@ def shingle_hashes(words: list[bytes], size: int, hash_of) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """MinHash values, two bytes each, for all places of all trees."""
+def least_values(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """MinHash values of a shingle set, folded into the lower 16 bits, one for each of ``a``, ``b``."""
     low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        values = low[at : at + 2048, None] * _A + high[at : at + 2048, None] * _B
+    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 512):
+        values = low[at : at + 512, None] * a + high[at : at + 512, None] * b
         np.minimum(least, values.min(axis=0), out=least)
-    return (least ^ (least >> np.uint32(16))).astype(">u2")
+    return least ^ (least >> np.uint32(16))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """MinHash values, two bytes each, for all places of all trees."""
+    return least_values(hashes, _A, _B).astype(">u2")
+
+
+def fine_signature(hashes: np.ndarray) -> np.ndarray:
+    """``FINE`` further MinHash values, one byte each."""
+    folded = least_values(hashes, _FINE_A, _FINE_B)
+    return (folded ^ (folded >> np.uint32(8))).astype(np.uint8)
+
+
+def set_sum(hashes: np.ndarray) -> int:
+    """Order-free sum that names a shingle set (half of its name)."""
+    return int(hashes.sum(dtype=np.uint64).view(np.int64))
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -106,7 +128,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     continue
                 hashes = shingle_hashes(words, shingle, hash_of)
                 n.append(len(hashes))
-                hi.append(int(hashes.sum(dtype=np.uint64).view(np.int64)))
+                hi.append(set_sum(hashes))
                 lo.append(int(mixed(hashes + _ODD[9]).sum(dtype=np.uint64).view(np.int64)))
                 sig.append(signature(hashes).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -178,7 +200,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def own_counts(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, own): how many shingles of each text no other text of ``texts`` holds (none: no row)."""
+    """(id, hi, own): how many shingles of each text no other text of ``texts`` holds (none: no row).
+
+    A text is named by its doc_id and set sum, so texts that share a doc_id count as different.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -190,16 +215,42 @@ def own_counts(texts: DataFrame, shingle: int) -> DataFrame:
                     shingle_hashes(word_list(t.as_py()), shingle, xxhash.xxh3_64_intdigest)
                     for t in batch.column(1)[lo : lo + 64]
                 ]
-                owners = np.repeat(np.array(ids[lo : lo + 64], np.int64), [len(x) for x in sets])
+                lengths = [len(x) for x in sets]
+                owners = np.repeat(np.array(ids[lo : lo + 64], np.int64), lengths)
+                names = np.repeat(np.array([set_sum(x) for x in sets], np.int64), lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sets).view(np.int64)), pa.array(owners)], ["h", "id"]
+                    [pa.array(np.concatenate(sets).view(np.int64)), pa.array(owners), pa.array(names)],
+                    ["h", "id", "hi"],
                 )
 
+    owner = F.struct("id", "hi")
     owners = (
-        texts.select("doc_id", "text").mapInArrow(run, "h long, id long")
-        .groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+        texts.select("doc_id", "text").mapInArrow(run, "h long, id long, hi long")
+        .groupBy("h").agg(F.min(owner).alias("one"), F.max(owner).alias("other"))
+    )
+    return owners.where("one = other").groupBy("one.id", "one.hi").agg(F.count(F.lit(1)).alias("own"))
+
+
+def fine_signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, hi, fine): the long signature of each distinct text of each doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            names, fine = [], []
+            for value in batch.column(1):
+                hashes = shingle_hashes(word_list(value.as_py()), shingle, xxhash.xxh3_64_intdigest)
+                names.append(set_sum(hashes))
+                fine.append(fine_signature(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.int64()), pa.array(fine, pa.binary())],
+                ["id", "hi", "fine"],
+            )
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, hi long, fine binary").dropDuplicates(
+        ["id", "hi"]
     )
-    return owners.where("id = other").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
 def cross_pairs(
@@ -220,10 +271,16 @@ def cross_pairs(
         "open-regions",
     )
     ids = sized(cut.select(F.col("id").alias("_id")).distinct(), "open-texts")
-    own = own_counts(texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"), shingle)
-    facts = heads.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select(
-        F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sig"
-    ).join(own, "id", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    open_texts = texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    own = own_counts(open_texts, shingle)
+    fine = fine_signatures(open_texts, shingle)
+    facts = materialize(
+        heads.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+        .select(F.col("doc_id").alias("id"), "hi", F.col("n_shingles").alias("size"), "sig")
+        .join(own, ["id", "hi"], "left").join(fine, ["id", "hi"])
+        .select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "sig", "fine"),
+        "open-facts",
+    )
     # block pair (x, y) with x <= y holds the members of both; a block alone meets itself
     placed = cut.select(
         "tree", "near", "id", "component", "mine",
@@ -235,8 +292,11 @@ def cross_pairs(
     keys = ["tree", "near", "x", "y"]
     grouped = placed.join(facts, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
 
-    def pairs_of(tree: int, ids: list, marks: list, sizes: list, common: list, sigs: list):
+    def pairs_of(
+        tree: int, ids: list, marks: list, sizes: list, common: list, sigs: list, fine: list
+    ):
         table = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), TREES, DEPTH)
+        long = np.frombuffer(b"".join(fine), np.uint8).reshape(len(ids), FINE)
         marks, sizes, common = np.array(marks), np.array(sizes), np.array(common)
         for k in range(len(ids) - 1):
             rest = slice(k + 1, None)
@@ -247,7 +307,8 @@ def cross_pairs(
                 continue
             same = table[js] == table[k]
             earlier = same[:, :tree, :LEAST_DEPTH].all(axis=2).any(axis=1)
-            for j in js[(same.mean(axis=(1, 2)) >= AGREE) & ~earlier]:
+            js = js[(same.mean(axis=(1, 2)) >= AGREE) & ~earlier]
+            for j in js[(long[js] == long[k]).mean(axis=1) >= FINE_AGREE]:
                 yield min(ids[k], ids[j]), max(ids[k], ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +328,7 @@ def cross_pairs(
                 if row[:4] != group:
                     if len(held[0]) > 1:
                         found.update(pairs_of(group[0], *held))
-                    group, held = row[:4], ([], [], [], [], [])
+                    group, held = row[:4], ([], [], [], [], [], [])
                 for at, value in enumerate(row[4:]):
                     held[at].append(value)
             if len(found) > 100_000:
@@ -276,7 +337,7 @@ def cross_pairs(
             found.update(pairs_of(group[0], *held))
         yield out()
 
-    return grouped.select(*keys, "id", "component", "size", "common", "sig").mapInArrow(
+    return grouped.select(*keys, "id", "component", "size", "common", "sig", "fine").mapInArrow(
         run, "a long, b long"
     ).distinct()
 
@@ -296,7 +357,7 @@ def near_duplicates(
     placed = checked_lookup(sets, copies, names, "copies").withColumn(
         "head", F.coalesce("head", "doc_id")
     )
-    heads = placed.where("n_shingles > 0 and doc_id = head").select("doc_id", "n_shingles", "sig")
+    heads = placed.where("n_shingles > 0 and doc_id = head").select("doc_id", "hi", "n_shingles", "sig")
     members = materialize(regions(heads), "regions")
 
     ids = sized(members.select(F.col("id").alias("_id")).distinct(), "candidates")
