@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.operators.skew import first_per_key
+from tracebeam.operators.skew import first_per_key, salted_join
 
 # Names of the resolution strategies.
 EXACT, SELF_METHOD, IMPORT_ALIAS = "exact", "self_method", "import_alias"
@@ -181,14 +181,17 @@ def calls_by_strategy(resolved: DataFrame) -> DataFrame:
 
 
 def _call_ends(
-    calls: DataFrame, functions: DataFrame, near: str, far: str, limit: int, qname: str | None
+    calls: DataFrame, functions: DataFrame, near: str, far: str, limit: int | None, qname: str | None
 ) -> DataFrame:
-    """For each function at the ``near`` end, its first ``limit`` edges by name of the far end."""
+    """For each function at the ``near`` end its edges; with ``limit`` the first by name of the far
+    end, ranked.
+    """
     edges = calls if qname is None else calls.where(F.col(near) == qname)
-    first = first_per_key(
-        edges.select("repo_key", near, far, "line", "derivation"),
-        ["repo_key", near], [F.asc(far), F.asc("line")], limit, rank="rank",
-    )
+    first = edges.select("repo_key", near, far, "line", "derivation")
+    if limit is not None:
+        first = first_per_key(
+            first, ["repo_key", near], [F.asc(far), F.asc("line")], limit, rank="rank"
+        )
     facts = functions.select(
         "repo_key", F.col("qualified_name").alias(far), "file_path", "signature"
     )
@@ -196,14 +199,14 @@ def _call_ends(
 
 
 def get_callers(
-    calls: DataFrame, functions: DataFrame, qname: str | None = None, limit: int = 50
+    calls: DataFrame, functions: DataFrame, qname: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Callers of one function, or of each, by name."""
     return _call_ends(calls, functions, "callee", "caller", limit, qname)
 
 
 def get_dependencies(
-    calls: DataFrame, functions: DataFrame, qname: str | None = None, limit: int = 50
+    calls: DataFrame, functions: DataFrame, qname: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Functions that one function, or each, calls, by name."""
     return _call_ends(calls, functions, "caller", "callee", limit, qname)
@@ -227,24 +230,24 @@ def contains_edges(files: DataFrame, functions: DataFrame, classes: DataFrame) -
     return from_files.unionByName(methods)
 
 
-def graph_expand(hits: DataFrame, contains: DataFrame, cap: int = 100) -> DataFrame:
+def graph_expand(hits: DataFrame, contains: DataFrame, cap: int | None = None) -> DataFrame:
     """Containers of each hit and the other members of those containers.
 
     ``hits`` has query_id, repo_key, qualified_name; ``contains`` has repo_key, parent,
-    parent_kind, child. Per query the first ``cap`` distinct names come back. Only the first
-    ``cap + 1`` members of a container can ever be among them (one may be the hit itself), so each
-    container is cut to that many before it meets the hits.
+    parent_kind, child. With ``cap`` the first so many distinct names per query come back. Only the
+    first ``cap + 1`` members of a container can ever be among them (one may be the hit itself), so
+    each container is cut to that many before it meets the hits. Containers of very many hits are
+    spread over tasks.
     """
     parents = hits.join(
         contains.select("repo_key", F.col("child").alias("qualified_name"), "parent", "parent_kind"),
         ["repo_key", "qualified_name"],
     )
-    members = first_per_key(
-        contains.select("repo_key", "parent", "child").distinct(),
-        ["repo_key", "parent"], [F.asc("child")], cap + 1,
-    )
+    members = contains.select("repo_key", "parent", "child").distinct()
+    if cap is not None:
+        members = first_per_key(members, ["repo_key", "parent"], [F.asc("child")], cap + 1)
     siblings = (
-        parents.join(members, ["repo_key", "parent"])
+        salted_join(parents, members, ["repo_key", "parent"], ["query_id", "qualified_name"])
         .where(F.col("child") != F.col("qualified_name"))
         .select("query_id", "repo_key", F.col("child").alias("qualified_name"), F.lit(None).cast("string").alias("container_kind"))
     )
@@ -255,6 +258,8 @@ def graph_expand(hits: DataFrame, contains: DataFrame, cap: int = 100) -> DataFr
     found = siblings.unionByName(containers).groupBy("query_id", "repo_key", "qualified_name").agg(
         F.max("container_kind").alias("container_kind")
     )
+    if cap is None:
+        return found
     return first_per_key(
         found, ["query_id"], [F.asc("qualified_name"), F.asc("repo_key")], cap
     )

@@ -218,10 +218,12 @@ def parse_diffs(replies: DataFrame) -> DataFrame:
     ).withColumn("headline", F.when(F.col("diff") != "", headline))
 
 
-def fix_audit_for(audit: DataFrame, incident_id: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest audit rows of one incident, or of each."""
+def fix_audit_for(audit: DataFrame, incident_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Audit rows of one incident, or of each; with ``limit`` the newest of each, ranked."""
     if incident_id is not None:
         audit = audit.where(F.col("incident_id") == incident_id)
+    if limit is None:
+        return audit
     return first_per_key(
         audit, ["incident_id"], [F.desc("ts"), F.desc("id")], limit, rank="rank"
     )

@@ -190,11 +190,15 @@ def events_for_service(
     service: str | None = None,
     since=None,
     until=None,
-    limit: int = 200,
+    limit: int | None = None,
 ) -> DataFrame:
-    """First ``limit`` events of one service, or of each, in time order."""
+    """Events of one service, or of each; with ``limit`` the first so many per service, ranked in
+    time order.
+    """
     events = scope(service_events(tables), env_key=env_key, service_name=service)
     events = between_times(events, "at", since, until)
+    if limit is None:
+        return events
     order = [F.asc(c) for c in TIME_ORDER]
     return first_per_key(events, ["env_key", "service_name"], order, limit, rank="rank")
 
@@ -308,21 +312,22 @@ def cluster_logs(
     lines: DataFrame,
     level: str = "error",
     lookback: float = 300,
-    limit: int = 1000,
+    limit: int | None = None,
     as_of=None,
 ) -> DataFrame:
     """Log lines of the look-back grouped by redacted signature per service.
 
-    Of each service the newest ``limit`` matching lines take part, as a log query would return.
+    With ``limit`` only the newest so many matching lines of each service take part.
     """
     matching = lines.where(F.col("message").rlike(f"(?i){level}"))
     if as_of is not None:
         since = shift(instant(as_of), -lookback)
         matching = matching.where(F.col("ts").between(since, instant(as_of)))
-    newest = first_per_key(
-        matching, ["env_key", "service_name"], [F.desc("ts"), F.asc("message")], limit
-    )
-    grouped = newest.groupBy(
+    if limit is not None:
+        matching = first_per_key(
+            matching, ["env_key", "service_name"], [F.desc("ts"), F.asc("message")], limit
+        )
+    grouped = matching.groupBy(
         "env_key", "service_name", log_signature(F.col("message")).alias("signature")
     ).agg(
         F.count(F.lit(1)).alias("count"),

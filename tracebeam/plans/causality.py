@@ -128,15 +128,21 @@ def explicit_references(t: Tables) -> DataFrame:
     return pairs.select("env_key", "deployment_id", "at", "incident_id", found.alias("reference"))
 
 
-@query("""SELECT env_key, service_name, kind, at, sort_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY env_key, service_name
-    ORDER BY at, kind_order, sort_id) AS rn FROM v_service_events WHERE at >= TIMESTAMP '2024-01-03' AND at <= TIMESTAMP '2024-01-20') WHERE rn <= 200""")
+@query("""SELECT env_key, service_name, kind, at, sort_id FROM v_service_events WHERE at >= TIMESTAMP '2024-01-03' AND at <= TIMESTAMP '2024-01-20'""")
 def events_for_service(t: Tables) -> DataFrame:
     out = rt.events_for_service(t.runtime, since="2024-01-03", until="2024-01-20")
+    return out.select("env_key", "service_name", "kind", "at", "sort_id")
+
+
+@query("""SELECT env_key, service_name, kind, at, sort_id, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY env_key, service_name
+    ORDER BY at, kind_order, sort_id) AS rn FROM v_service_events WHERE at >= TIMESTAMP '2024-01-03' AND at <= TIMESTAMP '2024-01-20') WHERE rn <= 200""")
+def first_events_for_service(t: Tables) -> DataFrame:
+    out = rt.events_for_service(t.runtime, since="2024-01-03", until="2024-01-20", limit=200)
     return out.select("env_key", "service_name", "kind", "at", "sort_id", "rank")
 
 
 @query("""SELECT env_key, service_name, kind, at, sort_id FROM v_service_events WHERE env_key = 'env2' AND service_name = 'svc8'
-    ORDER BY at, kind_order, sort_id LIMIT 200""")
+""")
 def events_for_one_service(t: Tables) -> DataFrame:
     out = rt.events_for_service(t.runtime, env_key="env2", service="svc8")
     return out.select("env_key", "service_name", "kind", "at", "sort_id")
@@ -149,6 +155,15 @@ def incident_timeline(t: Tables) -> DataFrame:
     )
 
 
+@query("""SELECT i.id AS incident_id, i.s AS service_name, o.kind, o.at FROM (SELECT *, unnest(list_distinct(affected_services)) AS s FROM v_incidents) i
+    JOIN (SELECT DISTINCT env_key, service_name, kind, at FROM (SELECT *, row_number() OVER (PARTITION BY env_key, service_name
+    ORDER BY at, kind_order, sort_id) AS rn FROM v_service_events) WHERE rn <= 20) o ON o.env_key = i.env_key AND o.service_name = i.s""")
+def incident_timeline_first(t: Tables) -> DataFrame:
+    return rp.build_timeline(t.runtime, around=None, per_service=20).select(
+        "incident_id", "service_name", "kind", "at"
+    )
+
+
 @query("""SELECT incident_id, service_name, kind, at, marker FROM v_marked""")
 def mark_timeline(t: Tables) -> DataFrame:
     top = ops.rank_causes(ops.score_causes(t.incidents, t.causes), 5)
@@ -176,13 +191,11 @@ def replay_confidence(t: Tables) -> DataFrame:
 
 
 @query("""SELECT id AS incident_id, 'Incident: ' || id || chr(10) || 'Title: ' || title || chr(10) || 'Env: ' || env_key || chr(10)
-    || 'Severity: ' || severity || chr(10) || 'Affected: ' || array_to_string(affected_services, ', ') AS lines FROM v_incidents""")
+    || 'Severity: ' || severity || chr(10) || 'Detected: ' || CAST(detected_at AS VARCHAR) || chr(10) || 'Resolved: ' || CAST(resolved_at AS VARCHAR)
+    || chr(10) || 'Affected: ' || array_to_string(affected_services, ', ') AS lines FROM v_incidents""")
 def incident_summary(t: Tables) -> DataFrame:
-    lines = F.filter(
-        "lines", lambda x: ~F.startswith(x, F.lit("Detected")) & ~F.startswith(x, F.lit("Resolved"))
-    )
     return rp.incident_summary(t.incidents).select(
-        "incident_id", F.array_join(lines, "\n").alias("lines")
+        "incident_id", F.array_join("lines", "\n").alias("lines")
     )
 
 
@@ -322,8 +335,7 @@ def metric_shift_detector(t: Tables) -> DataFrame:
 
 
 @query("""SELECT env_key, service_name, {sig} AS signature, substr(sha1({sig}), 1, 16) AS signature_hash, count(*) AS count, min(ts) AS first_seen_at,
-    max(ts) AS last_seen_at, least(1.0, count(*) / 10.0)::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY env_key, service_name ORDER BY ts DESC, message) AS n
-    FROM v_log_lines WHERE regexp_matches(message, '(?i)error') AND ts BETWEEN TIMESTAMP '2024-01-16' AND TIMESTAMP '2024-01-31') WHERE n <= 1000 GROUP BY ALL""".replace(
+    max(ts) AS last_seen_at, least(1.0, count(*) / 10.0)::DOUBLE AS confidence FROM v_log_lines WHERE regexp_matches(message, '(?i)error') AND ts BETWEEN TIMESTAMP '2024-01-16' AND TIMESTAMP '2024-01-31' GROUP BY ALL""".replace(
     "{sig}", "substr(regexp_replace(message, '[0-9]+(?:[.][0-9]+)?', '<n>', 'g'), 1, 200)"))
 def cluster_logs(t: Tables) -> DataFrame:
     out = rt.cluster_logs(t.log_lines, lookback=15 * 86400, as_of=AS_OF)

@@ -54,15 +54,22 @@ def calls_by_strategy(t: Tables) -> DataFrame:
     return ops.calls_by_strategy(ops.resolve_calls(t.functions, t.files))
 
 
-@query("""SELECT repo_key, caller, callee, line, rank, derivation, n.file_path, n.signature FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, callee ORDER BY caller, line) AS rank FROM v_calls) c
-    LEFT JOIN (SELECT repo_key AS r, qualified_name, file_path, signature FROM v_nodes) n ON n.r = c.repo_key AND n.qualified_name = c.caller WHERE rank <= 50""".replace("derivation, n.file_path", "c.derivation, n.file_path"))
+@query("""SELECT c.repo_key, c.caller, c.callee, c.line, c.derivation, n.file_path, n.signature FROM v_every_call c
+    LEFT JOIN v_nodes n ON n.repo_key = c.repo_key AND n.qualified_name = c.caller""")
 def get_callers(t: Tables) -> DataFrame:
-    return ops.get_callers(t.calls, t.call_nodes)
+    return ops.get_callers(t.every_call, t.call_nodes)
+
+
+@query("""SELECT repo_key, caller, callee, line, rank, derivation, n.file_path, n.signature FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, callee ORDER BY caller, line) AS rank FROM v_every_call) c
+    LEFT JOIN (SELECT repo_key AS r, qualified_name, file_path, signature FROM v_nodes) n ON n.r = c.repo_key AND n.qualified_name = c.caller WHERE rank <= 50""".replace("derivation, n.file_path", "c.derivation, n.file_path"))
+def first_callers(t: Tables) -> DataFrame:
+    return ops.get_callers(t.every_call, t.call_nodes, limit=50)
 
 
-@query("""SELECT repo_key, caller, callee, line, rank, derivation FROM (SELECT *, row_number() OVER (PARTITION BY repo_key, caller ORDER BY callee, line) AS rank FROM v_calls) WHERE rank <= 50""")
+@query("""SELECT c.repo_key, c.caller, c.callee, c.line, c.derivation, n.file_path, n.signature FROM v_every_call c
+    LEFT JOIN v_nodes n ON n.repo_key = c.repo_key AND n.qualified_name = c.callee""")
 def get_dependencies(t: Tables) -> DataFrame:
-    return ops.get_dependencies(t.calls, t.call_nodes).drop("file_path", "signature")
+    return ops.get_dependencies(t.every_call, t.call_nodes)
 
 
 @query("SELECT repo_key, parent, parent_kind, child FROM v_contains")
@@ -70,13 +77,12 @@ def contains_edges(t: Tables) -> DataFrame:
     return t.contains
 
 
-@query("""SELECT query_id, repo_key, qualified_name, kind AS container_kind FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY qualified_name) AS n
-    FROM (SELECT query_id, repo_key, qualified_name, max(kind) AS kind FROM (
+@query("""SELECT query_id, repo_key, qualified_name, kind AS container_kind FROM (SELECT query_id, repo_key, qualified_name, max(kind) AS kind FROM (
     SELECT f.p_partkey AS query_id, f.repo_key, c2.child AS qualified_name, NULL AS kind FROM v_function_names f
     JOIN v_contains c1 ON c1.repo_key = f.repo_key AND c1.child = f.qualified_name
     JOIN v_contains c2 ON c2.repo_key = c1.repo_key AND c2.parent = c1.parent AND c2.child <> f.qualified_name
     UNION ALL SELECT f.p_partkey, f.repo_key, c1.parent, c1.parent_kind FROM v_function_names f
-    JOIN v_contains c1 ON c1.repo_key = f.repo_key AND c1.child = f.qualified_name) GROUP BY ALL)) WHERE n <= 100""")
+    JOIN v_contains c1 ON c1.repo_key = f.repo_key AND c1.child = f.qualified_name) GROUP BY ALL)""")
 def graph_expand(t: Tables) -> DataFrame:
     hits = t.function_names.select(F.col("p_partkey").alias("query_id"), "repo_key", "qualified_name")
     return ops.graph_expand(hits, t.contains)
@@ -120,9 +126,9 @@ def ingest_stats(t: Tables) -> DataFrame:
 
 
 @query("""SELECT repo_key, modules AS module_count, functions AS function_count, edges FROM (SELECT repo_key, count(*) AS modules FROM v_files GROUP BY 1)
-    JOIN (SELECT repo_key, count(*) AS functions FROM v_function_names GROUP BY 1) USING (repo_key) JOIN (SELECT repo_key, count(*) AS edges FROM v_calls GROUP BY 1) USING (repo_key)""")
+    JOIN (SELECT repo_key, count(*) AS functions FROM v_function_names GROUP BY 1) USING (repo_key) JOIN (SELECT repo_key, count(*) AS edges FROM v_every_call GROUP BY 1) USING (repo_key)""")
 def capture_baseline(t: Tables) -> DataFrame:
-    edges, counts = dr.capture_baseline(t.calls, t.files, t.function_names, AS_OF)
+    edges, counts = dr.capture_baseline(t.every_call, t.files, t.function_names, AS_OF)
     return counts.join(edges.groupBy("repo_key").agg(F.count(F.lit(1)).alias("edges")), "repo_key")
 
 
@@ -188,8 +194,8 @@ def glob_filter(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT repo_key, caller, callee, count(*) AS n FROM v_calls GROUP BY ALL HAVING repo_key = 'repo1'""")
+@query("""SELECT repo_key, caller, callee, count(*) AS n FROM v_every_call GROUP BY ALL HAVING repo_key = 'repo1'""")
 def repo_scope(t: Tables) -> DataFrame:
-    return rt.scope(t.calls, repo_key="repo1").groupBy("repo_key", "caller", "callee").agg(
+    return rt.scope(t.every_call, repo_key="repo1").groupBy("repo_key", "caller", "callee").agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -124,8 +124,13 @@ def parse_diffs(t: Tables) -> DataFrame:
 
 
 @query("""SELECT incident_id, id, ts, rank FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ts DESC, id DESC) AS rank FROM v_audit) WHERE rank <= 50""")
+def newest_fix_audit(t: Tables) -> DataFrame:
+    return ops.fix_audit_for(t.audit, limit=50).select("incident_id", "id", "ts", "rank")
+
+
+@query("SELECT incident_id, id, ts FROM v_audit")
 def fix_audit_for_incident(t: Tables) -> DataFrame:
-    return ops.fix_audit_for(t.audit).select("incident_id", "id", "ts", "rank")
+    return ops.fix_audit_for(t.audit).select("incident_id", "id", "ts")
 
 
 @query("SELECT id, ts, incident_id FROM v_audit ORDER BY ts DESC, id DESC LIMIT 20")

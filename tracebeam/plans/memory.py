@@ -219,10 +219,10 @@ def delete_ids(t: Tables) -> DataFrame:
     return tb.delete_ids(t.memories, gone, "id").select("id", "repo_key")
 
 
-@query("""SELECT c.repo_key, c.caller, c.callee, c.line FROM v_calls c WHERE c.caller IN (SELECT qualified_name FROM v_nodes WHERE repo_key <> 'repo3')""")
+@query("""SELECT c.repo_key, c.caller, c.callee, c.line FROM v_every_call c WHERE c.caller IN (SELECT qualified_name FROM v_nodes WHERE repo_key <> 'repo3')""")
 def detach_edges(t: Tables) -> DataFrame:
     left, _ = tb.delete_where(t.call_nodes, F.col("repo_key") == "repo3")
-    return tb.detach(t.calls, left, "caller", "qualified_name").select("repo_key", "caller", "callee", "line")
+    return tb.detach(t.every_call, left, "caller", "qualified_name").select("repo_key", "caller", "callee", "line")
 
 
 @query("""SELECT service, team, is_stub, seq FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY is_stub, CASE WHEN is_stub THEN batch ELSE -batch END, seq DESC) AS n FROM (

@@ -167,6 +167,10 @@ class Tables:
     def calls(self) -> DataFrame:
         return self.all_calls.where(F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")).drop("l_shipdate")
 
+    @cached_property
+    def every_call(self) -> DataFrame:
+        return self.all_calls.drop("l_shipdate")
+
     @cached_property
     def baseline(self) -> DataFrame:
         return self.all_calls.where(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")).select(
@@ -395,12 +399,12 @@ SQL_VIEWS = {
         'Log: "' || signature || '" (count=' || (CASE WHEN count = 0 THEN '' ELSE CAST(count AS VARCHAR) END) || ')' FROM v_log_signatures
         UNION ALL SELECT 'incident', 4, env_key, s, detected_at, id, id, title
         FROM (SELECT *, unnest(list_distinct(affected_services)) AS s FROM v_incidents)""",
-    "v_first_events": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY env_key, service_name ORDER BY at, kind_order, sort_id) AS rn
-        FROM v_service_events) WHERE rn <= 500""",
-    "v_once": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY env_key, service_name, kind, at ORDER BY rn) AS again FROM v_first_events) WHERE again = 1""",
+    "v_once": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY env_key, service_name, kind, at ORDER BY kind_order, sort_id) AS again
+        FROM v_service_events) WHERE again = 1""",
     "v_timeline": """SELECT i.id AS incident_id, i.detected_at, i.env_key, i.s AS service_name, o.kind, o.at, o.kind_order, o.sort_id, o.text AS description
         FROM (SELECT *, unnest(list_distinct(affected_services)) AS s FROM v_incidents) i
-        JOIN v_once o ON o.env_key = i.env_key AND o.service_name = i.s""",
+        JOIN v_once o ON o.env_key = i.env_key AND o.service_name = i.s
+        AND o.at >= i.detected_at - INTERVAL 6 HOUR AND o.at <= coalesce(i.resolved_at, i.detected_at) + INTERVAL 6 HOUR""",
     "v_marked": """SELECT t.*, CASE WHEN t.kind = 'incident' THEN '▶ INCIDENT' WHEN c.incident_id IS NOT NULL THEN '↗ cause'
         WHEN t.at >= t.detected_at THEN '↓ response' ELSE '' END AS marker FROM v_timeline t LEFT JOIN (SELECT DISTINCT incident_id,
         CASE kind WHEN 'Deployment' THEN 'deployment' WHEN 'MetricShift' THEN 'metric_shift' ELSE 'log_signature' END AS kind,
@@ -414,6 +418,7 @@ SQL_VIEWS = {
         'svc' || (l_suppkey % 10) || '.s' || l_suppkey AS callee, 'src/p' || l_partkey || '.py' AS file_path,
         l_linenumber AS line, 'exact' AS derivation, l_shipdate FROM lineitem""",
     "v_calls": "SELECT * EXCLUDE (l_shipdate) FROM v_all_calls WHERE l_shipdate >= TIMESTAMP '1997-01-01'",
+    "v_every_call": "SELECT * EXCLUDE (l_shipdate) FROM v_all_calls",
     "v_baseline": "SELECT * EXCLUDE (l_shipdate) FROM v_all_calls WHERE l_shipdate < TIMESTAMP '1999-01-01'",
     "v_nodes": """SELECT 'repo' || (p_partkey % 4) AS repo_key, 'pkg' || (p_partkey % 10) || '.p' || p_partkey AS qualified_name,
         'src/p' || p_partkey || '.py' AS file_path, '(' || p_size || ')' AS signature FROM part""",
