@@ -143,7 +143,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def regions(heads: DataFrame) -> DataFrame:
-    """(tree, near, deep, id, leader, n): members of all regions of two or more."""
+    """(tree, near, deep, id, leader, n): members of all regions of two or more.
+
+    The sizes are written out first, so that both sides of the join are plain shuffles (or the sizes
+    are broadcast) and adaptive execution can split a region that holds a large share of the rows.
+    """
     tree_bytes = DEPTH * VALUE_BYTES
     rows = heads.select(
         F.col("doc_id").alias("id"), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
@@ -153,7 +157,7 @@ def regions(heads: DataFrame) -> DataFrame:
         F.col("sig").substr(F.col("tree") * tree_bytes + 1, F.lit(tree_bytes)).alias("deep"),
     )
     size = rows.groupBy("tree", "near").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
-    return rows.join(size.where("n > 1"), ["tree", "near"])
+    return rows.join(materialize(size.where("n > 1"), "region-sizes"), ["tree", "near"])
 
 
 def leader_pairs(members: DataFrame, leaders: int, dense: int) -> DataFrame:
@@ -265,7 +269,7 @@ def cross_pairs(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")
     ).where("lo < hi").select("tree", "near", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     cut = materialize(
-        labelled.join(open_regions, ["tree", "near"]).withColumn(
+        labelled.join(materialize(open_regions, "open-sizes"), ["tree", "near"]).withColumn(
             "mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         ),
         "open-regions",
