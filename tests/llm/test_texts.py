@@ -87,6 +87,43 @@ def test_clean_prose_has_no_added_spans():
     assert all(not any(pii.added(r[1], pii.detect(r[1])).values()) for r in DOCS if r[1])
 
 
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("reach jane at example.com today", "email", "jane at example.com"),
+        ("reach Jane AT mail.example.ORG.", "email", "Jane AT mail.example.ORG"),
+        ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+        ("mail a@zéro.com", "email", "a@zéro.com"),
+    ],
+)
+def test_disguises_do_not_depend_on_other_content(text, kind, source):
+    alone = pii.added(text, pii.detect(text))[kind]
+    beside = pii.added(f"{text}\n(at) dot ѕ", pii.detect(text))[kind]
+    assert alone == beside
+    assert [text[lo:hi] for lo, hi in alone] == [source]
+
+
+def test_the_pre_check_loses_nothing(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    bits = [
+        "jane", "at", "AT", "dot", "example", "com", "Com", ".", "..", "@", " ", "  ", " ", "-", "(", ")", "[", "]",
+        "plus", "pluſ", "+", "one", "Four", "ſix", "zéro", "FÜNF", "neun", "4", "19", "192", "4111", ",", "\n", "é", "İ", "uK",
+    ]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(2, 30))) for _ in range(20_000)]
+    texts += [" ".join(rng.choice(bits) for _ in range(rng.randrange(2, 30))) for _ in range(20_000)]
+    for _ in range(4_000):  # numbers and addresses in part spelled
+        digits = [rng.choice(["1", "4", "one", "four", "Zwei"]) for _ in range(rng.randrange(4, 18))]
+        texts.append(rng.choice(["", "+", "plus "]) + "".join(d + rng.choice(["", " ", "-", ".", "(", ") "]) for d in digits))
+        texts.append("jane at example" + rng.choice([".", " dot ", "(dot)", ". "]) + rng.choice(["com", "fr now", "x"]))
+    texts += [r[1] for r in DOCS if r[1]]
+    fast = [pii.added(t, pii.detect(t)) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert fast == [pii.added(t, pii.detect(t)) for t in texts]
+    assert sum(any(x.values()) for x in fast) > 500
+
+
 def test_personal_data_rows(spark, make_docs):
     got = {}
     for row in pii.personal_data(make_docs(ODD_TEXTS + [(20, TRICKY[0])])).collect():

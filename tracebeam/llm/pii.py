@@ -62,8 +62,11 @@ INVISIBLE = "­​‌‍⁠﻿"
 LAST_LABELS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|eu|us|ch|at|it|nl|biz|dev|app"
 
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-# two digit words in a row, or a sign or digit beside one: only then spelled digits matter
-_SPELLED = re.compile(rf"(?:{_WORDS}|[0-9.])[ ,.-]+(?:{_WORDS})(?![^\W_])|(?:{_WORDS})[ ,.-]+[0-9]")
+_END = r"(?![^\W\d_])"  # no letter follows
+_DOT = r"(?:\.|\ +dot\ +|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
+# after a bare "at": labels and dots up to a last label
+_TO_LAST = rf"(?=[\w-]+(?:{_DOT}[\w-]+)*?{_DOT}(?:{LAST_LABELS})(?![\w-]))"
+_TO_DIGIT = rf"(?=(?:{_WORDS}|[0-9]){_END})"
 _BRACKETED = re.compile(r"[\[({<]\s*+(?:at|dot|@|\.)\s*+[\])}>]")
 # letters outside ASCII that may stand for ASCII ones; plain accented letters are none
 _ODD = re.compile(f"[{INVISIBLE}Ͱ-ԯ․！-～⁰-ₜ\U0001d400-\U0001d7ff﹒﹫]")
@@ -71,14 +74,21 @@ _PIECE = re.compile(
     rf"""(?P<odd>{_ODD.pattern})
     |(?P<at>(?:(?<!\s)\s++)?[\[({{<]\s*+(?:at|@)\s*+[\])}}>]\s*+)
     |(?P<dot>(?:(?<!\s)\s++)?[\[({{<]\s*+(?:dot|\.)\s*+[\])}}>]\s*+)
-    |(?P<bare_at>(?<=\w)\ +at\ +(?=[\w-]+(?:(?:\.|\ +dot\ +|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)[\w-]+)*?
-        (?:\.|\ +dot\ +|\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)(?:{LAST_LABELS})(?![\w-])))
+    |(?P<bare_at>(?<=\w)\ +at\ +{_TO_LAST})
     |(?P<bare_dot>(?<=\w)\ +dot\ +(?=\w))
-    |(?P<plus>(?<![^\W_])plus\ +(?=(?:{_WORDS}|[0-9])(?![^\W\d_])))
-    |(?P<digit>(?<![^\W\d_])(?P<word>{_WORDS})(?![^\W\d_])(?:[ -](?=(?:{_WORDS}|[0-9])(?![^\W\d_])))?)
+    |(?P<plus>(?<![^\W_])plus\ +{_TO_DIGIT})
+    |(?P<digit>(?<![^\W\d_])(?P<word>{_WORDS}){_END}(?:[ -]{_TO_DIGIT})?)
     """,
     re.VERBOSE | re.IGNORECASE,
 )
+# what each piece needs to show anything new, without its left edge (see disguised)
+_BARE_AT = re.compile(rf"\ at\ +{_TO_LAST}")
+_PLUS = re.compile(rf"plus\ +{_TO_DIGIT}")
+_WORD = re.compile(rf"(?:{_WORDS}){_END}")
+_SPELLED = re.compile(rf"(?:{_WORDS}|[0-9])[ ().-]*+(?:{_WORDS}){_END}|(?:{_WORDS})[ ().-]*+[0-9]")
+# equal ASCII letters where case is ignored, but not in lower()
+_FOLD = str.maketrans("İıſ\u212a", "iisk")
+_FOLDED = re.compile("[İıſ\u212a]")
 
 
 def emails(text: str) -> list[Span]:
@@ -173,7 +183,7 @@ class Rewritten:
                 if value == m.group():
                     continue
             elif kind == "digit":
-                value, end = DIGIT_WORDS[m.group("word").lower()], m.end("word")
+                value, end = DIGIT_WORDS[m.group("word").translate(_FOLD).lower()], m.end("word")
             else:
                 value = {"at": "@", "bare_at": "@", "plus": "+"}.get(kind, ".")
             piece(text[done : m.start()], done, m.start(), False)
@@ -198,12 +208,21 @@ class Rewritten:
 
 
 def disguised(text: str) -> bool:
+    """Whether the transducer can show anything new; False only where ``added`` would be empty.
+
+    A new span holds a rewritten piece. Signs and odd characters are looked for as the transducer
+    does. A spelled digit belongs to an address (then there is an @) or to a number, in which the next
+    digit, spelled or not, is at most some of ' ().-' away.
+    """
     low = text.lower()
     return bool(
         " dot " in low
         or (any(c in low for c in "[({<") and _BRACKETED.search(low))
+        or _BARE_AT.search(low)
+        or _PLUS.search(low)
         or _SPELLED.search(low)
-        or (not text.isascii() and _ODD.search(text))
+        or ("@" in low and _WORD.search(low))
+        or (not text.isascii() and (_ODD.search(text) or _FOLDED.search(text)))
     )
 
 
