@@ -139,6 +139,18 @@ def test_fences_follow_the_group(make_docs):
     assert all(rows[k] for k in range(300)) and all(rows[1000 + k] for k in range(300)) and not rows[5000]
 
 
+def test_quality_stage_judges_rows_not_ids(make_docs):
+    good = "many words in a text that passes all of the rules for text {}"
+    docs = make_docs(
+        [(None, good.format(k)) for k in range(5)] + [(None, "too short"), (None, None)]
+        + [(7, good.format(7)), (7, ""), (8, good.format(8))]
+    ).selectExpr("*", "1 n_words", "2 base_failed", "map('a', 1) _limits")
+    out = quality.quality_stage(docs)
+    assert out.columns == docs.columns
+    want = [tuple(r) for r in docs.collect() if len((r["text"] or "").split()) > 9]
+    assert len(want) == 7 and sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
 # -- scores ---------------------------------------------------------------------------------------
 
 

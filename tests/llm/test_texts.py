@@ -207,6 +207,16 @@ def test_decontaminate_stage_keeps_clean_rows(make_docs, spark):
     ) == [0, 2]
 
 
+def test_decontaminate_stage_judges_rows_not_ids(make_docs, spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    bad, clean = "alpha beta gamma", "more clean words"
+    docs = make_docs([(None, bad), (None, clean), (None, clean), (7, bad), (7, clean), (8, None)])
+    out = decontam.decontaminate_stage(docs, items)
+    assert out.columns == docs.columns
+    want = [tuple(r) for r in docs.collect() if r["text"] != bad]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
 # -- tokens ---------------------------------------------------------------------------------------
 
 SPACES = [

@@ -8,8 +8,8 @@ one. The benchmark goes to the tasks in blocks of bounded size; documents pass t
 stage, without a shuffle.
 
 Null texts, and texts without words, have no hits; items without words match nothing. Rows are judged
-one by one, so repeated rows stay repeated. An empty benchmark leaves every document clean. Only the
-columns named are read, so others may have any name.
+one by one, so repeated rows stay repeated. An empty benchmark leaves every document clean.
+Only the columns named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -20,12 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.llm.common import drop_ids
-
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
 PERCENT = 5
-STATE = "doc_id long, text string, n_words long, spans array<long>, items array<string>"
 
 # every byte that is no part of a word becomes a space; A-Z become a-z
 _TABLE = bytes(
@@ -114,31 +111,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """Items in hash blocks of about ``block_bytes``; each is read by itself, so the driver never
-    holds more than one block beside those it has already sent out."""
+def block_count(items: DataFrame, block_bytes: int) -> int:
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // block_bytes))
+    return max(1, -(-int(total) // block_bytes))
+
+
+def item_block(items: DataFrame, k: int, n: int) -> list[tuple[str | None, str | None]]:
+    """Hash block ``k`` of ``n`` of the items; the driver holds one block beside those sent out."""
     block = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    for k in range(n):
-        rows = items.where(block == k).select(F.col("item_id").cast("string"), "text").toArrow()
-        yield list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+    rows = items.where(block == k).select(F.col("item_id").cast("string"), "text").toArrow()
+    return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
 
 
-def contamination(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+def searched(
+    docs: DataFrame, items: DataFrame, window: int, block_bytes: int, keep_row: bool
 ) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``keep_row`` also
+    text and ``_row``, the other columns of ``docs`` as c0, c1, ...
+    """
     spark = docs.sparkSession
     state = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"),
+        *([F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"])
+           .alias("_row")] if keep_row else []),
     )
-    blocks = [spark.sparkContext.broadcast(rows) for rows in item_blocks(items, block_bytes)]
+    schema = state.schema
 
-    def search_block(sent, last: bool):
+    def search_block(sent, drop_text: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = Benchmark(sent.value, window)
             for batch in batches:
@@ -154,35 +156,50 @@ def contamination(
                     counts.append(len(words))
                     spans_out.append(spans)
                     items_out.append(found)
-                text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1)
+                text = pa.nulls(batch.num_rows, pa.string()) if drop_text else batch.column(1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), text, pa.array(counts, pa.int64()),
                         pa.array(spans_out, pa.list_(pa.int64())),
                         pa.array(items_out, pa.list_(pa.string())),
+                        *batch.columns[5:],
                     ],
-                    ["doc_id", "text", "n_words", "spans", "items"],
+                    schema.names,
                 )
 
         return run
 
-    for k, sent in enumerate(blocks):
-        state = state.mapInArrow(search_block(sent, k == len(blocks) - 1), STATE)
+    n_blocks = block_count(items, block_bytes)
+    sent: list = []
+    for k in range(n_blocks):
+        sent.append(spark.sparkContext.broadcast(item_block(items, k, n_blocks)))
+        state = state.mapInArrow(search_block(sent[-1], k == n_blocks - 1 and not keep_row), schema)
     n_hit = F.aggregate(
         "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")),
         lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")),
         lambda a: a["n"],
     )
-    return state.select("doc_id", "n_words", n_hit.alias("n_hit"), "items").select(
+    row = ["text", "_row"] if keep_row else []
+    return state.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", *row).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= PERCENT * F.col("n_words"))).alias(
             "contaminated"
-        ),
+        ), *row,
     )
 
 
+def contamination(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return searched(docs, items, window, block_bytes, keep_row=False)
+
+
 def decontaminate_stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that are not contaminated, with all their columns; rows that share a doc_id go
-    together if one of them is contaminated."""
-    return drop_ids(docs, contamination(docs, items).where("contaminated"))
+    """Rows that are not contaminated, with all their columns; each is judged by its own text,
+    whatever other rows have its doc_id (null included)."""
+    rows = searched(docs, items, WINDOW, BLOCK_BYTES, keep_row=True)
+    return rows.where(~F.col("contaminated")).select(
+        *["text" if c == "text" else F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    )

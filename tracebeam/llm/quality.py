@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracebeam.llm.common import SPACE, drop_ids, group_key, let, salted_lookup, words
+from tracebeam.llm.common import SPACE, group_key, let, salted_lookup, words
 from tracebeam.session import materialize
 
 # fixed values: base rules of the contract
@@ -28,6 +28,8 @@ MAX_REPEAT_PERCENT = 20
 METRICS = {"word_length": 100, "symbols": 60, "dup_lines": 150, "repeats": 40}
 MIN_GROUP = 200
 FENCE = 4
+# groups whose limits (a few hundred bytes) are sent to the tasks; beyond, a salted join
+SENT_GROUPS = 100_000
 
 
 def repeated_words(w: Column) -> Column:
@@ -177,24 +179,40 @@ def fences(
     )
 
 
-def judge(
-    measured: DataFrame, groups: tuple[str, str] = ("lang", "source"),
-    min_group: int = MIN_GROUP, fence: int = FENCE, id_col: str = "doc_id",
+def group_limits(
+    sketch: DataFrame, groups: tuple[str, str] = ("lang", "source"),
+    min_group: int = MIN_GROUP, fence: int = FENCE,
 ) -> DataFrame:
-    """Measured rows with ``kept``: base rules passed and every metric inside its group's fence."""
-    limits = fences(sketches(measured, groups), groups, min_group, fence).groupBy("key").agg(
+    """(_key, _limits): the fences of a group as a map by metric."""
+    return fences(sketch, groups, min_group, fence).groupBy(F.col("key").alias("_key")).agg(
         F.map_from_entries(
             F.collect_list(F.struct("metric", F.struct("low", "high").alias("f")))
         ).alias("_limits")
     )
-    rows = measured.withColumn("_key", group_key(*groups))
-    joined = salted_lookup(rows, limits.withColumnRenamed("key", "_key"), "_key", [id_col])
+
+
+def inside_limits() -> Column:
+    """Base rules passed and every metric inside ``_limits``.
+
+    One expression over both, so that no part of it is moved below the join and measured twice.
+    """
     inside = F.lit(True)
     for metric, value in metric_values().items():
         f = F.try_element_at(F.col("_limits"), F.lit(metric))
         outside = (value < f["low"]) | (value > f["high"])
         inside = inside & ~F.coalesce(outside, F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("_limits", "_key")
+    return F.least(~F.col("base_failed"), inside)
+
+
+def judge(
+    measured: DataFrame, groups: tuple[str, str] = ("lang", "source"),
+    min_group: int = MIN_GROUP, fence: int = FENCE, id_col: str = "doc_id",
+) -> DataFrame:
+    """Measured rows with ``kept``: base rules passed and every metric inside its group's fence."""
+    limits = group_limits(sketches(measured, groups), groups, min_group, fence)
+    rows = measured.withColumn("_key", group_key(*groups))
+    joined = salted_lookup(rows, limits, "_key", [id_col])
+    return joined.withColumn("kept", inside_limits()).drop("_limits", "_key")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -210,9 +228,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with all their columns.
+    """Rows that pass, with all their columns.
 
-    Rows that share a doc_id (null included) go together if one of them is rejected.
+    Each row is judged by its own text, whatever other rows have its doc_id (null included). Texts are
+    measured for the sketches and again with their row, so that they are never written in between.
     """
-    measured = materialize(measure(docs, ["doc_id", "lang", "source"]), "quality")
-    return drop_ids(docs, judge(measured).where("not kept"))
+    sketch = materialize(sketches(measure(docs, ["lang", "source"])), "quality-sketches")
+    limits = materialize(group_limits(sketch), "quality-limits")
+    whole = docs.select(F.struct("*").alias("_doc"), "text", "lang", "source")
+    rows = measure(whole, ["_doc", "lang", "source"]).withColumn("_key", group_key("lang", "source"))
+    if limits.count() <= SENT_GROUPS:
+        joined = rows.join(F.broadcast(limits), "_key", "left")
+    else:
+        joined = salted_lookup(rows, limits, "_key", ["n_words", "word_chars", "n_symbols"])
+    return joined.where(inside_limits()).select("_doc.*")
