@@ -217,6 +217,25 @@ def test_decontaminate_stage_judges_rows_not_ids(make_docs, spark):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 21, 40])
+def test_items_without_id_count_as_in_sql(spark, make_docs, tmp_path, block_bytes):
+    import duckdb
+
+    from tracebeam.llm import oracle
+
+    docs = [(1, "x alpha beta y"), (2, "gamma delta"), (3, "alpha beta gamma delta"), (4, "nothing here"), (5, None)]
+    items = [(None, "alpha beta"), (None, "gamma delta"), (None, None), (6, "delta"), (7, "beta gamma"), (11, "y"), (12, "here")]
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", make_docs(docs)), ("benchmark", items_df)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = sorted(con.execute(oracle.SQL["op4_decontamination"]).fetchall(), key=repr)
+    got = decontam.contamination(make_docs(docs), items_df, block_bytes=block_bytes)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert [r[2:4] for r in want] == [(3, 2), (2, 2), (4, 3), (1, 1), (0, 0)]
+
+
 # -- tokens ---------------------------------------------------------------------------------------
 
 SPACES = [

@@ -4,11 +4,12 @@ Test strings are windows of 13 words (a shorter item is one window). Windows of
 matcher. A block of two words looked up in the shift table tells how far the search may jump without
 missing the end of a window: a block that occurs in no window allows length - 1 words at once. Where
 the shift is 0, the block's bucket names the windows that end with it, and words are compared one by
-one. The benchmark goes to the tasks in blocks of bounded size; documents pass the blocks in one
-stage, without a shuffle.
+one. The benchmark goes to the tasks in blocks of bounded size, a bounded number of them per pass over
+the documents; there is no shuffle.
 
-Null texts, and texts without words, have no hits; items without words match nothing. Rows are judged
-one by one, so repeated rows stay repeated. An empty benchmark leaves every document clean.
+Null texts, and texts without words, have no hits; items without words match nothing; items without an
+id are searched like all others and count together as one item, with no name in the hashed list. Rows
+are judged one by one, so repeated rows stay repeated. An empty benchmark leaves every document clean.
 Only the columns named are read, so others may have any name.
 """
 
@@ -20,8 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracebeam.session import materialize
+
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
+PASS_BLOCKS = 4
 PERCENT = 5
 
 # every byte that is no part of a word becomes a space; A-Z become a-z
@@ -45,7 +49,7 @@ class Matcher:
         self.shift: dict = {}
         self.bucket: dict = {}
 
-    def add(self, item: str, words: list[bytes]) -> None:
+    def add(self, item: str | None, words: list[bytes]) -> None:
         m, b = self.length, self.block
         for end in range(b, len(words) + 1):  # block words[end - b:end]
             key = words[end - 1] if b == 1 else (words[end - 2], words[end - 1])
@@ -56,7 +60,7 @@ class Matcher:
             if end >= m:
                 self.bucket.setdefault(key, []).append((item, words, end))
 
-    def search(self, words: list[bytes], spans: list[tuple[int, int]], items: set[str]) -> None:
+    def search(self, words: list[bytes], spans: list[tuple[int, int]], items: set[str | None]) -> None:
         m, far, shift, n = self.length, self.far, self.shift, len(words)
         if self.block == 1:
             if not self.shift.keys() & set(words):
@@ -85,17 +89,17 @@ class Matcher:
 class Benchmark:
     """Matchers for a block of items, by window length."""
 
-    def __init__(self, rows: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, rows: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.matchers: dict[int, Matcher] = {}
         for item, text in rows:
             words = word_list(text)
             length = min(window, len(words))
-            if item is not None and length:
+            if length:
                 self.matchers.setdefault(length, Matcher(length)).add(item, words)
 
-    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         for matcher in self.matchers.values():
             matcher.search(words, spans, items)
         return spans, items
@@ -119,7 +123,7 @@ def block_count(items: DataFrame, block_bytes: int) -> int:
 
 def item_block(items: DataFrame, k: int, n: int) -> list[tuple[str | None, str | None]]:
     """Hash block ``k`` of ``n`` of the items; the driver holds one block beside those sent out."""
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     rows = items.where(block == k).select(F.col("item_id").cast("string"), "text").toArrow()
     return list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
 
@@ -129,6 +133,9 @@ def searched(
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``keep_row`` also
     text and ``_row``, the other columns of ``docs`` as c0, c1, ...
+
+    At most ``PASS_BLOCKS`` blocks of the benchmark are sent out at a time; between such passes the
+    rows are written with what they have found.
     """
     spark = docs.sparkSession
     state = docs.select(
@@ -152,7 +159,7 @@ def searched(
                     if new:
                         pairs = list(zip(spans[::2], spans[1::2]))
                         spans = [x for pair in merged(pairs + new) for x in pair]
-                        found = sorted(names.union(found))
+                        found = sorted(names.union(found), key=lambda x: (x is None, x or ""))
                     counts.append(len(words))
                     spans_out.append(spans)
                     items_out.append(found)
@@ -172,6 +179,10 @@ def searched(
     n_blocks = block_count(items, block_bytes)
     sent: list = []
     for k in range(n_blocks):
+        if len(sent) == PASS_BLOCKS:
+            state = materialize(state, "contamination")
+            while sent:
+                sent.pop().destroy()
         sent.append(spark.sparkContext.broadcast(item_block(items, k, n_blocks)))
         state = state.mapInArrow(search_block(sent[-1], k == n_blocks - 1 and not keep_row), schema)
     n_hit = F.aggregate(
