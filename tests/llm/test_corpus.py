@@ -317,6 +317,43 @@ def test_shards_of_odd_texts(make_docs):
     assert sharding.shard(make_docs([])).count() == 0
 
 
+def test_labels_travel_over_links(spark, make_docs):
+    # no two rows share a text; within 40 communities of 12 rows, hubs of four overlap
+    rng = random.Random(6)
+    docs = [(k, f"text {k}") for k in range(480)]
+    hubs = [(c, j, d) for c in range(40) for j in range(10) for d in rng.sample(range(12 * c, 12 * c + 12), 4)]
+    links = spark.createDataFrame([(d, f"{c}-{j}") for c, j, d in hubs], "doc_id long, hub string")
+    apart = {}
+    for rounds in (0, 5):
+        rows = sharding.shard(make_docs(docs), 8, rounds, links).collect()
+        check_shards(rows, dict(docs), 8)
+        label = {r["doc_id"]: r["label"] for r in rows}
+        assert max(Counter(label.values()).values()) <= 75  # even share 60
+        seen = defaultdict(set)
+        for c, j, d in hubs:
+            seen[c, j].add(label[d])
+        apart[rounds] = sum(len(x) - 1 for x in seen.values())
+    assert apart[5] < 0.7 * apart[0], apart
+
+
+def test_groups_within_one_shard_stay_whole_and_huge_ones_are_one_run(make_docs):
+    docs = [(k, f"group {k // 36}") for k in range(288)] + [(1000 + k, "huge") for k in range(100)]
+    docs += [(2000 + k, f"alone {k}") for k in range(572)]
+    rows = sharding.shard(make_docs(docs)).collect()
+    check_shards(rows, dict(docs), 24)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[dict(docs)[r["doc_id"]]].append((r["shard"], r["slot"], r["label"]))
+    places = sorted(40 * s + slot for s, slot, _ in groups["huge"])
+    assert places == list(range(100))
+    for k in range(8):
+        assert len({label for _, _, label in groups[f"group {k}"]}) == 1
+        at = sorted(40 * s + slot for s, slot, _ in groups[f"group {k}"])
+        assert at == list(range(at[0], at[0] + 36))
+    counts = Counter(r["label"] for r in rows)
+    assert max(counts[k] for k in range(24)) <= 60
+
+
 # -- toxicity -------------------------------------------------------------------------------------
 
 
