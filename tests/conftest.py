@@ -4,12 +4,11 @@ import sys
 from pathlib import Path
 
 import pytest
+from benchmark_tables import SF_DIR
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():

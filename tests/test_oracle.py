@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_DIR
+from benchmark_tables import SF_DIR
 
 import __spark_entry__ as entry
 from check import compare, database
