@@ -11,6 +11,11 @@ The edge of a source is a pair of hashes, so a document's number of copies follo
 and one small row per source; texts are never shuffled. Sums run over the 4096 blocks of a source and
 the documents of one block, so no source is held in one task. Everything is a column expression.
 
+Weights are whole numbers: a share's power is rounded to a multiple of 2^-40 once, per source, and all
+sums run over whole numbers, so neither the order of summation nor the partitioning can change a budget.
+With exponent 1 the weights are the token counts themselves and every source gets exactly its own
+tokens back; with budget 1 that passes every document on once.
+
 Null sources form one source. Texts without words (null, empty) weigh nothing: in a source with words
 they follow their hashes, a source without any words is passed on once. Rows that share doc_id and
 source share their hashes and are taken or left together at the edge. Empty tables give empty results.
@@ -31,6 +36,7 @@ ENTROPY = 0.97  # of the highest possible
 REPEATS = 4.0
 BUDGET = 1.0  # of the words there are
 BLOCK_DIGITS = 3  # hexadecimal: 4096 blocks a source
+UNIT = 1 << 40  # parts of one in a rounded power
 
 
 def doc_hash(epoch: Column) -> Column:
@@ -64,27 +70,39 @@ def first_step(reached, steps: int = STEPS) -> int:
     return lo
 
 
-def exponent(totals: DataFrame, entropy: float, repeats: float, budget: float) -> float:
-    """Exponent for the shares of ``totals`` (source_key, tokens, share); one small job per step."""
+def parts(value: Column) -> Column:
+    """``value`` as a whole number of ``UNIT`` parts."""
+    return F.round(value * F.lit(float(UNIT))).cast("decimal(38,0)")
+
+
+def power_parts(step: int) -> Column:
+    """Whole-number weight of a source at exponent step / STEPS; its token count at exponent 1."""
+    if step == STEPS:
+        return F.col("tokens").cast("decimal(38,0)")
+    return parts(F.pow("share", F.lit(step / STEPS)))
+
+
+def chosen_step(totals: DataFrame, entropy: float, repeats: float, budget: float) -> int:
+    """Step whose exponent fits ``totals`` (source_key, tokens, share); one small job per trial."""
 
     def mix(step: int):
         power = F.pow("share", F.lit(step / STEPS))
-        return totals.agg(
-            F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("m"),
+        row = totals.agg(
+            F.sum(parts(power)).alias("z"), F.sum(parts(power * F.log("share"))).alias("m"),
             F.max(power / F.col("share")).alias("r"), F.count(F.lit(1)).alias("n"),
         ).first()
+        return int(row["z"]) / UNIT, int(row["m"]) / UNIT, row["r"], row["n"]
 
     def flat_enough(step: int) -> bool:
-        row = mix(step)
-        entropy_here = log(row["z"]) - step / STEPS * row["m"] / row["z"]
-        return entropy_here >= entropy * log(row["n"]) - 1e-12
+        z, m, _, n = mix(step)
+        return log(z) - step / STEPS * m / z >= entropy * log(n) - 1e-9
 
     def rare_enough(step: int) -> bool:
-        row = mix(step)
-        return row["r"] / row["z"] * budget <= repeats + 1e-12
+        z, _, most, _ = mix(step)
+        return most / z * budget <= repeats + 1e-9
 
     flat = first_step(lambda i: not flat_enough(i), STEPS + 1) - 1
-    return max(flat, first_step(rare_enough), 0) / STEPS
+    return max(flat, first_step(rare_enough), 0)
 
 
 def plan(
@@ -103,12 +121,15 @@ def plan(
         sums.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total or 1))),
         "mix-shares",
     )
-    power = F.pow("share", F.lit(exponent(totals, entropy, repeats, budget) if total else 1.0))
-    z = totals.agg(F.coalesce(F.sum(power), F.lit(1.0))).first()[0]
-    weights = totals.select(
-        "source_key", "tokens", (power / F.lit(z)).alias("weight"),
-        F.floor(power / F.lit(z) * F.lit(budget * float(total))).alias("budget"),
-    ).select(
+    power = power_parts(chosen_step(totals, entropy, repeats, budget) if total else STEPS)
+    z = int(totals.agg(F.sum(power)).first()[0] or 1)
+    # powers have 13 digits (token counts at exponent 1) and budgets 18: products fit 38
+    product = power.cast("decimal(19,0)") * F.lit(int(budget * total)).cast("decimal(18,0)")
+    shares = totals.select(
+        "source_key", "tokens", (power.cast("double") / F.lit(float(z))).alias("weight"),
+        product.alias("product"), F.lit(str(z)).cast("decimal(38,0)").alias("z"),
+    )
+    weights = shares.withColumn("budget", F.expr("product div z")).select(
         "source_key", "weight", F.expr("budget div tokens").alias("epochs"),
         (F.col("budget") % F.col("tokens")).alias("rest"),
     )

@@ -112,24 +112,31 @@ SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, least(dw.doc_id, c) AS component
 FROM dw LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = dw.doc_id
 """
 
-SQL["op10_mixing"] = """
+
+def mixing_sql(entropy: float) -> str:
+    """The mix of ``documents`` whose entropy is at least this share of the highest possible."""
+    return f"""
 WITH dw AS (
   SELECT doc_id, source, coalesce('+' || source, '-') AS key, coalesce(cast(doc_id AS VARCHAR), '-') AS id,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS t FROM documents),
 d AS (SELECT *, substr(md5(id), 1, 3) AS block FROM dw),
 totals AS (SELECT key, sum(t) AS tokens, sum(t) / (SELECT sum(t) FROM d) AS share FROM d GROUP BY key HAVING sum(t) > 0),
+powers AS (
+  SELECT i, key, tokens, share, round(share ** (i / 1024.0) * 1099511627776.0)::HUGEINT AS p,
+         round(share ** (i / 1024.0) * ln(share) * 1099511627776.0)::HUGEINT AS q FROM totals, range(0, 1025) g(i)),
 steps AS (
-  SELECT i, ln(sum(share ** (i / 1024.0))) - (i / 1024.0) * sum(share ** (i / 1024.0) * ln(share))
-              / sum(share ** (i / 1024.0)) AS h,
-         max(share ** (i / 1024.0) / share) / sum(share ** (i / 1024.0)) AS most, count(*) AS n
-  FROM totals, range(0, 1025) g(i) GROUP BY i),
+  SELECT i, ln(sum(p) / 1099511627776.0) - (i / 1024.0) * (sum(q) / 1099511627776.0) / (sum(p) / 1099511627776.0) AS h,
+         max(share ** (i / 1024.0) / share) / (sum(p) / 1099511627776.0) AS most, count(*) AS n
+  FROM powers GROUP BY i),
 chosen AS (
-  SELECT greatest((SELECT coalesce(max(i), 0) FROM steps WHERE h >= 0.97 * ln(n) - 1e-12),
-                  (SELECT coalesce(min(i), 1024) FROM steps WHERE most <= 4.0 + 1e-12)) / 1024.0 AS e),
+  SELECT greatest((SELECT coalesce(max(i), 0) FROM steps WHERE h >= {entropy} * ln(n) - 1e-9),
+                  (SELECT coalesce(min(i), 1024) FROM steps WHERE most <= 4.0 + 1e-9)) AS i),
 weights AS (
-  SELECT key, tokens, share ** e / (SELECT sum(share ** e) FROM totals) AS weight FROM totals, chosen),
+  SELECT key, tokens, CASE WHEN i = 1024 THEN tokens::HUGEINT ELSE p END AS part FROM powers JOIN chosen USING (i)),
 budgets AS (
-  SELECT key, tokens, weight, cast(floor(weight * (SELECT sum(t) FROM d)) AS BIGINT) AS budget FROM weights),
+  SELECT key, tokens, part::DOUBLE / (SELECT sum(part) FROM weights)::DOUBLE AS weight,
+         cast(part * (SELECT sum(t) FROM d)::HUGEINT // (SELECT sum(part)::HUGEINT FROM weights) AS BIGINT) AS budget
+  FROM weights),
 plan AS (SELECT key, weight, budget // tokens AS epochs, budget % tokens AS rest FROM budgets),
 blocks AS (
   SELECT key, block, spot, tokens, sum(tokens) OVER (PARTITION BY key ORDER BY spot, block) AS upto, rest FROM (
@@ -152,3 +159,6 @@ SELECT doc_id, source, t AS n_tokens, epoch, round(weight, 6) AS weight,
        substr(md5(key || '|' || block || '|' || epoch), 1, 8) || substr(md5(id || '|' || epoch), 1, 8) AS place
 FROM (SELECT *, unnest(range(0, cast(copies AS BIGINT))) AS epoch FROM uses)
 """
+
+
+SQL["op10_mixing"] = mixing_sql(0.998)
