@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracebeam.llm import (
-    decontam, html_text, lm_score, mixing, near_dup, pii, quality, sharding, tokens, toxicity,
+    decontam, fim, html_text, lm_score, mixing, near_dup, pii, quality, sharding, tokens, toxicity,
 )
 from tracebeam.llm.common import table
 
@@ -67,9 +67,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), MIX_ENTROPY)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
 OPERATORS = (
     op1_sharding, op2_personal_data, op3_html_text, op4_decontamination, op5_toxicity,
     op6_quality_rules, op7_near_duplicates, op8_token_counts, op9_lm_score, op10_mixing,
+    op13_fill_in_middle,
 )
 
 
