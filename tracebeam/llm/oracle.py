@@ -186,3 +186,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN cast(length(prefix) AS BI
        sha256(text) AS restored_sha256
 FROM p
 """
+
+
+def clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Clusters of ``embeddings`` by comparing every vector with every centroid."""
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM kept WHERE vec_id IS NOT NULL
+  ORDER BY sha256('1:' || vec_id), v LIMIT {k})"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+far{t} AS (
+  SELECT r, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+  FROM kept, c{t}),
+near{t} AS (SELECT r, min(struct_pack(d := d, c := c)) AS b FROM far{t} GROUP BY r)""")
+        if t < rounds:
+            steps.append(f"""
+new{t} AS (
+  SELECT c, list(cast(floor_of AS BIGINT) ORDER BY i) AS m FROM (
+    SELECT b.c AS c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_of
+    FROM near{t} JOIN (SELECT r, unnest(v) AS x, unnest(range(1, 65)) AS i FROM kept) USING (r) GROUP BY 1, 2) GROUP BY c),
+c{t + 1} AS (SELECT c, coalesce(new{t}.m, c{t}.m) AS m FROM c{t} LEFT JOIN new{t} USING (c))""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, cast(b.c AS INTEGER) AS cluster, b.d AS distance,
+       cast(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, cast(sum(b.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM near{rounds} JOIN kept USING (r) JOIN c{rounds} ON c = b.c
+"""
+
+
+SQL["op11_centroids"] = clustering_sql()

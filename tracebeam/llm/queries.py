@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracebeam.llm import (
     decontam, fim, html_text, lm_score, mixing, near_dup, pii, quality, sharding, tokens, toxicity,
+    vafile,
 )
 from tracebeam.llm.common import table
 
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir), MIX_ENTROPY)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
@@ -74,7 +79,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_sharding, op2_personal_data, op3_html_text, op4_decontamination, op5_toxicity,
     op6_quality_rules, op7_near_duplicates, op8_token_counts, op9_lm_score, op10_mixing,
-    op13_fill_in_middle,
+    op11_centroids, op13_fill_in_middle,
 )
 
 
