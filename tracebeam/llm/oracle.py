@@ -220,3 +220,22 @@ FROM near{rounds} JOIN kept USING (r) JOIN c{rounds} ON c = b.c
 
 
 SQL["op11_centroids"] = clustering_sql()
+
+SQL["op12_ngram_join"] = f"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM dw WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.s = y.s
+    AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b WHERE 100 * shared >= 80 * (sa.n + sb.n - shared)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM dw UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, least(dw.doc_id, c) AS component_id
+FROM dw LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = dw.doc_id
+"""

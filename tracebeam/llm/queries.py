@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracebeam.llm import (
-    decontam, fim, html_text, lm_score, mixing, near_dup, pii, quality, sharding, tokens, toxicity,
+    decontam, fim, html_text, lm_score, mixing, near_dup, ngram_join, pii, quality, sharding, tokens, toxicity,
     vafile,
 )
 from tracebeam.llm.common import table
@@ -72,6 +72,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
@@ -79,7 +83,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (
     op1_sharding, op2_personal_data, op3_html_text, op4_decontamination, op5_toxicity,
     op6_quality_rules, op7_near_duplicates, op8_token_counts, op9_lm_score, op10_mixing,
-    op11_centroids, op13_fill_in_middle,
+    op11_centroids, op12_ngram_join, op13_fill_in_middle,
 )
 
 
