@@ -220,12 +220,11 @@ def members(state: DataFrame) -> DataFrame:
 
 def add_totals(state: DataFrame, n: list[int], sums: list[list[int]]) -> None:
     """Add the tasks' totals in ``state`` to those of the driver (centroids times dimensions numbers)."""
-    parts = state.where("key is null")
-    for r in parts.groupBy("cluster").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():
-        n[r["cluster"]] += int(r["n"])
-    moved = parts.select("cluster", F.posexplode("sums").alias("dim", "x"))
-    for r in moved.groupBy("cluster", "dim").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect():
-        sums[r["cluster"]][r["dim"]] += int(r["x"])
+    whole = [F.sum(F.get("sums", F.lit(d)).cast("decimal(38,0)")) for d in range(len(sums[0]))]
+    parts = state.where("key is null").groupBy("cluster").agg(F.sum(F.col("n").cast("decimal(38,0)")), *whole)
+    for cluster, count, *moved in parts.collect():
+        n[cluster] += int(count)
+        sums[cluster] = [x + int(y) for x, y in zip(sums[cluster], moved)]
 
 
 def first_assignment(vectors: DataFrame, centroids: np.ndarray, edges: np.ndarray, bits: int) -> DataFrame:
