@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracebeam.operators.skew import first_per_key, salted_join
+from tracebeam.operators.tables import replace_scopes
 
 # Names of the resolution strategies.
 EXACT, SELF_METHOD, IMPORT_ALIAS = "exact", "self_method", "import_alias"
@@ -160,6 +161,16 @@ def call_edges(resolved: DataFrame) -> DataFrame:
     )
 
 
+def write_call_edges(edges: DataFrame, path: str, repos: DataFrame | None = None) -> None:
+    """Replace the stored call edges of ``repos`` (repo_key); those of other repositories stay.
+
+    A repository listed without edges loses its old ones; without the list only the repositories
+    present in ``edges`` are replaced.
+    """
+    resolved = edges if repos is None else repos
+    replace_scopes(edges, path, resolved.select("repo_key"), ["repo_key"])
+
+
 def call_resolution_stats(resolved: DataFrame) -> DataFrame:
     """Per repository: callers, sites, resolved, unresolved and the resolution rate."""
     # a caller's sites are first folded to one row, so no task holds the whole caller set

@@ -38,4 +38,4 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from tracebeam.plans import causality, code, files, finance, memory, streams, texts  # noqa: F401
+    from tracebeam.plans import causality, code, files, finance, memory, stored, streams, texts  # noqa: F401

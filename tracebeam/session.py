@@ -83,3 +83,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path object) of a folder, wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the cluster's storage, if it is there."""
+    system, where = file_system(spark, path)
+    system.delete(where, True)

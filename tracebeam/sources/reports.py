@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracebeam import schemas
 from tracebeam.operators.drift import SEVERITY_RANK, severity_rank
 from tracebeam.operators.skew import numbered
-from tracebeam.operators.tables import replace_scopes
+from tracebeam.operators.tables import read_stored, replace_scopes
 from tracebeam.sources.documents import file_stem, read_documents
 
 # Report levels, headings and icons per severity.
@@ -64,18 +64,22 @@ def write_baseline(edges: DataFrame, path: str, repos: DataFrame | None = None)
 
 def read_baseline(spark: SparkSession, path: str, repo_key: str | None = None) -> DataFrame:
     """Stored baseline; a missing one is empty, so every edge then counts as new."""
-    try:
-        stored = spark.read.schema(BASELINE).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], BASELINE)
+    stored = read_stored(spark, path, StructType.fromDDL(BASELINE))
     return stored if repo_key is None else stored.where(F.col("repo_key") == repo_key)
 
 
-def write_snapshots(df: DataFrame, path: str, by: str = "incident_id") -> None:
-    """JSON results, one folder per entity."""
-    df.write.mode("overwrite").partitionBy(by).json(path)
+def write_snapshots(
+    df: DataFrame, path: str, by: str = "incident_id", entities: DataFrame | None = None
+) -> None:
+    """JSON results, one folder per entity.
+
+    ``df`` is the whole snapshot: folders of entities it no longer has go. With ``entities`` (column
+    ``by``) only theirs are replaced, also by nothing, and those of others stay as they are.
+    """
+    if entities is not None:
+        replace_scopes(df, path, entities.select(by), [by], "json")
+        return
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(by).json(path)
 
 
 def _in_parts(findings: DataFrame, per_part: int) -> DataFrame:
