@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tokens folded into <n>, tried in this order: lower-case uuid, ISO time, 0x number,
 # hex run of 32 or more, plain number.
@@ -98,6 +100,17 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "\\z"
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What a glob begins with before its first wildcard."""
+    return F.regexp_extract(pattern, r"^([^*?\[]*)", 1)
+
+
+@F.pandas_udf(StringType())
+def glob_regexes(patterns: pd.Series) -> pd.Series:
+    """Regular expressions of a column of globs (for small tables of rules)."""
+    return patterns.map(lambda p: None if p is None else glob_regex(p))
+
+
 def glob_match(col: Column, pattern: str) -> Column:
     return col.rlike(glob_regex(pattern))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracebeam.functions.scores import decay
 from tracebeam.functions.texts import explicit_reference
 from tracebeam.functions.times import instant, seconds_between, seconds_of, shift
-from tracebeam.operators.skew import ROWS_PER_TASK, first_per_key, interval_join
+from tracebeam.operators.skew import ROWS_PER_TASK, counts_before, first_per_key, interval_join
 from tracebeam.operators.tables import replace_scopes
 
 # Scoring constants and strategy names.
@@ -266,20 +266,34 @@ def link_stats(
 ) -> DataFrame:
     """Per incident: candidates inspected, edges written, skipped as too late / too weak, by kind.
 
-    Counts cover the whole lookback, including events the score drops. Pairs are summed per map
-    task before the shuffle.
+    Counts cover the whole lookback, including events the score drops. No pair is made: counts are
+    differences of cumulative event counts at five instants of each incident.
     """
-    pairs = causal_candidates(incidents, events, lookback)
-    delta = F.col("delta_seconds")
-    late = delta < 0
-    written = (delta > 0) & (decay(delta, half_life) >= min_confidence)
-    counted = pairs.groupBy("incident_id").agg(
-        F.count(F.lit(1)).alias("inspected"),
-        F.count_if(written).alias("written"),
-        F.count_if(late).alias("skipped_after"),
-        F.count_if(~late & ~written).alias("skipped_low"),
-        *[F.count_if(written & (F.col("kind") == k)).alias(f"written_{k}") for k in CAUSE_KINDS],
+    micros = lambda seconds: F.expr(f"make_dt_interval(0, 0, 0, {seconds:.6f})")
+    detected, reach = F.col("detected_at"), written_reach(half_life, min_confidence, seconds_of(lookback))
+    edge = lambda name, at, inclusive: F.struct(
+        F.lit(name).alias("edge"), at.alias("at"), F.lit(inclusive).alias("inclusive")
+    )
+    edges = [
+        edge("first", detected - micros(seconds_of(lookback)), False),
+        edge("detected", detected, True),
+        edge("last", detected + micros(HORIZON_SECONDS), True),
+    ]
+    if reach is not None:
+        edges += [edge("from", detected - micros(reach), False), edge("before", detected, False)]
+    probes = incidents.select(
+        F.col("id").alias("incident_id"), "env_key", F.explode(F.array(*edges)).alias("e")
+    ).select("incident_id", "env_key", "e.*")
+    kinds = {k: F.col("kind") == k for k in CAUSE_KINDS}
+    seen = counts_before(probes, events, ["env_key"], "at", "inclusive", {"n": F.lit(True), **kinds}, "at")
+    between = lambda column, start, end: F.sum(
+        F.when(F.col("edge") == end, F.col(column)).when(F.col("edge") == start, -F.col(column)).otherwise(0)
     )
+    counted = seen.groupBy("incident_id").agg(
+        between("n", "first", "last").alias("inspected"), between("n", "from", "before").alias("written"),
+        between("n", "detected", "last").alias("skipped_after"),
+        *[between(k, "from", "before").alias(f"written_{k}") for k in CAUSE_KINDS],
+    ).withColumn("skipped_low", F.col("inspected") - F.col("skipped_after") - F.col("written"))
     names = [c for c in counted.columns if c != "incident_id"]
     return (
         incidents.select(F.col("id").alias("incident_id"), "env_key")
@@ -288,6 +302,19 @@ def link_stats(
     )
 
 
+def written_reach(half_life: float, min_confidence: float, lookback: float) -> float | None:
+    """Longest time before a detection (to the microsecond) at which an event is still written."""
+    if min_confidence > 1:
+        return None
+    reach = int(usable_lookback(lookback, half_life, min_confidence) * 1_000_000)
+    score = lambda us: math.exp(-math.log(2.0) * (us / 1_000_000) / half_life)
+    while score(reach + 1) >= min_confidence and reach < lookback * 1_000_000:
+        reach += 1
+    while reach > 0 and score(reach) < min_confidence:
+        reach -= 1
+    return reach / 1_000_000
+
+
 def causes_for_incident(
     preceded: DataFrame,
     incident_id: str | None = None,

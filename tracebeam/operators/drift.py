@@ -8,9 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.functions.texts import glob_match
+from tracebeam.functions.texts import glob_match, glob_regexes, literal_prefix
 from tracebeam.functions.times import instant
 from tracebeam.operators.runtime import scope
+from tracebeam.operators.skew import ROWS_PER_TASK, salted_join
 
 # Severities, ranks, gates and texts of findings.
 SEVERITY_RANK = {"note": 0, "warning": 1, "error": 2, "critical": 3}
@@ -108,20 +109,67 @@ def boundary_violations(calls: DataFrame, boundaries: Sequence[Boundary]) -> Dat
     ]
     nothing = F.lit(None).cast("struct<name: string, description: string>")
     hit = F.coalesce(*broken, nothing) if broken else nothing
-    return (
-        calls.withColumn("_rule", hit)
-        .where(F.col("_rule").isNotNull())
-        .select(
-            *EDGE,
-            F.lit("boundary_violation").alias("kind"),
-            F.lit("critical").alias("severity"),
-            F.concat(
-                F.lit("Boundary violation ("), F.col("_rule.name"), F.lit("): "), "caller",
-                F.lit(" depends on "), "callee", F.lit(". "), F.col("_rule.description"),
-            ).alias("description"),
-            F.col("_rule.name").alias("boundary_name"),
-        )
+    return _violations(calls.withColumn("_rule", hit).where(F.col("_rule").isNotNull()))
+
+
+def _violations(broken: DataFrame) -> DataFrame:
+    """Rows of the drift report for edges with the ``_rule`` they break."""
+    return broken.select(
+        *EDGE,
+        F.lit("boundary_violation").alias("kind"),
+        F.lit("critical").alias("severity"),
+        F.concat(
+            F.lit("Boundary violation ("), F.col("_rule.name"), F.lit("): "), "caller",
+            F.lit(" depends on "), "callee", F.lit(". "), F.col("_rule.description"),
+        ).alias("description"),
+        F.col("_rule.name").alias("boundary_name"),
+    )
+
+
+# lengths to which literal prefixes of rules are cut
+PREFIX_LENGTHS = (*range(25), 32, 48, 64)
+
+
+def boundary_violations_by_table(
+    calls: DataFrame, rules: DataFrame, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Edges (every row) that break a rule of a table; the first matching rule by ``position`` counts.
+
+    ``rules`` has position, name, source_pattern, forbidden_pattern, description. A rule is filed under
+    the longer of its two literal prefixes, cut to one of a few lengths; an edge looks under the same
+    cuts of its caller and callee, so it only meets rules that share one of its prefixes. Rules without
+    any literal prefix meet every edge. Patterns are tested on distinct (caller, callee) pairs. A null
+    pattern matches nothing, a null description is empty.
+    """
+    source, forbidden = literal_prefix(F.col("source_pattern")), literal_prefix(F.col("forbidden_pattern"))
+    from_source = F.length(source) >= F.length(forbidden)
+    prefix = F.when(from_source, source).otherwise(forbidden)
+    lengths = F.array(*[F.lit(n) for n in PREFIX_LENGTHS])
+    filed = rules.where("source_pattern is not null and forbidden_pattern is not null").select(
+        "position", "name", F.coalesce("description", F.lit("")).alias("description"),
+        F.when(from_source, "caller").otherwise("callee").alias("side"), prefix.alias("prefix"),
+        glob_regexes("source_pattern").alias("source"), glob_regexes("forbidden_pattern").alias("forbidden"),
+    ).withColumn("size", F.array_max(F.filter(lengths, lambda n: n <= F.length("prefix")))).withColumn(
+        "prefix", F.expr("substring(prefix, 1, size)")
+    )
+    pairs = calls.select("caller", "callee").distinct()
+    cuts = lambda side: F.transform(
+        F.filter(lengths, lambda n: n <= F.length(side)),
+        lambda n: F.struct(F.lit(side).alias("side"), n.alias("size"), F.col(side).substr(F.lit(1), n).alias("prefix")),
+    )
+    looked_up = pairs.where("caller is not null and callee is not null").select(
+        "caller", "callee", F.explode(F.concat(cuts("caller"), cuts("callee"))).alias("k")
+    ).select("caller", "callee", "k.*")
+    met = salted_join(
+        looked_up, filed, ["side", "size", "prefix"],
+        ["caller", "callee"], rows_per_task=rows_per_task,
+    )
+    first = (
+        met.where(F.regexp_like("caller", F.col("source")) & F.regexp_like("callee", F.col("forbidden")))
+        .groupBy("caller", "callee")
+        .agg(F.min(F.struct("position", "name", "description")).alias("_rule"))
     )
+    return _violations(salted_join(calls, first, ["caller", "callee"], EDGE, rows_per_task=rows_per_task))
 
 
 def detect_drift(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.operators.skew import salted_join
+from tracebeam.operators.skew import ROWS_PER_TASK, salted_join
 
 
 def _id_links(
@@ -22,6 +24,31 @@ def _id_links(
     return edges, stubs.withColumn("source", F.lit(source))
 
 
+def name_mentions(
+    texts: DataFrame, key: Sequence[str], names: DataFrame, text: str = "text", name: str = "name",
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """(key, name): names of a table that occur in the texts as whole words, one row each.
+
+    Names are filed under their first word; texts look up their distinct words, so a name is only tested
+    against texts that hold its first word. Texts are shuffled once, to test the names proposed. Names
+    without any word character are tested on every text. Null texts and names match nothing.
+    """
+    word = F.regexp_extract(F.col("name"), r"\w+", 0)
+    filed = (
+        names.select(F.col(name).alias("name")).where(F.length("name") > 0).distinct()
+        .select("name", word.alias("word"))
+    )
+    said = texts.where(F.col(text).isNotNull()).select(
+        *key, F.explode(F.array_union(F.regexp_extract_all(F.col(text), F.lit(r"\w+"), 0), F.array(F.lit("")))).alias("word")
+    )
+    proposed = salted_join(said, filed, ["word"], key, rows_per_task=rows_per_task).select(*key, "name")
+    whole = proposed.join(texts.select(*key, F.col(text).alias("_text")), list(key))
+    return whole.where(
+        F.regexp_like("_text", F.concat(F.lit(r"\b\Q"), "name", F.lit(r"\E\b")))
+    ).select(*key, "name").distinct()
+
+
 def link_mentions(
     messages: DataFrame, incidents: DataFrame, services: DataFrame
 ) -> dict[str, DataFrame]:

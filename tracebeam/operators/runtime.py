@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracebeam.functions.scores import is_shift, shift_confidence, shift_ratio
 from tracebeam.functions.texts import log_signature, signature_hash
 from tracebeam.functions.times import between_times, instant, shift
-from tracebeam.operators.skew import first_per_key
+from tracebeam.operators.skew import asof_join, first_per_key
 
 RUNTIME_LABELS = ("Service", "Deployment", "MetricShift", "LogSignature", "Incident")
 CODE_LABELS = ("Repo", "File", "Function", "Class", "Symbol")
@@ -282,6 +282,33 @@ def metric_as_of(samples: DataFrame, as_of, offsets: Mapping[str, float]) -> Dat
     )
 
 
+def metrics_at_incidents(
+    incidents: DataFrame, samples: DataFrame, offsets: Mapping[str, float]
+) -> DataFrame:
+    """Per incident, affected service and metric the last sample at or before instants of its own.
+
+    ``offsets`` maps an output column to the seconds before the detection it looks at. Metrics of a
+    service without a sample early enough give null.
+    """
+    hit = incidents.select(
+        F.col("id").alias("incident_id"), "env_key", "detected_at",
+        F.explode(F.array_distinct("affected_services")).alias("service_name"),
+    )
+    series = samples.select("env_key", "service_name", "metric").distinct()
+    at = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), shift(F.col("detected_at"), -seconds).alias("wanted_at"))
+        for name, seconds in offsets.items()
+    ]))
+    keys = ["env_key", "service_name", "metric"]
+    probes = hit.join(series, ["env_key", "service_name"]).select(*keys, "incident_id", at.alias("e")).select(
+        *keys, "incident_id", "e.name", "e.wanted_at"
+    )
+    found = asof_join(probes, samples, keys, "wanted_at", "ts", ["value"])
+    return found.groupBy("incident_id", *keys).agg(
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in offsets]
+    )
+
+
 def metric_shifts(
     samples: DataFrame,
     as_of,

@@ -3,6 +3,8 @@
 * ``salted_join``   - equi-join that splits the left rows of hot keys over several tasks.
 * ``interval_join`` - point-in-interval join through time buckets, hot buckets salted.
 * ``running_total`` - cumulative sums over a hot group by blocks of its order column.
+* ``asof_join``     - last point at or before each probe, carried over blocks of a long series.
+* ``counts_before`` - how many points lie before each probe, without making a pair.
 * ``first_per_key`` - top-n rows per key (Spark trims each map partition before the shuffle).
 """
 
@@ -171,3 +173,104 @@ def first_per_key(
     ranked = df.withColumn(rank or "_rank", F.row_number().over(window))
     kept = ranked.where(F.col(rank or "_rank") <= n)
     return kept if rank else kept.drop("_rank")
+
+
+def _in_time_blocks(points: DataFrame, probes: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Points and probes of all series in one order (keys, time, side), cut into blocks of equal size.
+
+    Rows need ``_us`` (micros), ``_side`` (order among equal times) and ``_tie``. A series of any length,
+    and any number of rows of one instant, spreads over several blocks.
+    """
+    both = points.unionByName(probes, allowMissingColumns=True)
+    return range_blocks(both, [*keys, "_us", "_side", "_tie"], name)
+
+
+def asof_join(
+    probes: DataFrame, points: DataFrame, keys: Sequence[str], probe_at: str, point_at: str,
+    values: Sequence[str],
+) -> DataFrame:
+    """Each probe with the ``values`` of the last point of its series at or before ``probe_at``.
+
+    Also gives that point's time as ``matched_at``; both are null where there is none. Of points at one
+    time the largest values count. Probes with a null key or time match nothing. Both sides are sorted
+    once, together; the last point of each block is carried to the next, one row per series and block.
+    """
+    point = F.struct(F.col(point_at).alias("matched_at"), *[F.col(v).alias(v) for v in values])
+    shape = points.select(point.alias("p")).schema["p"].dataType
+    usable = F.col(point_at).isNotNull()
+    left = points.where(usable).select(
+        *keys, F.unix_micros(point_at).alias("_us"), F.lit(0).alias("_side"), point.alias("_point"),
+        F.xxhash64(*values).alias("_tie"),
+    )
+    right = probes.select(
+        *keys, F.unix_micros(probe_at).alias("_us"), F.lit(1).alias("_side"),
+        F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"),
+        F.xxhash64(*[c for c in probes.columns if c not in keys]).alias("_tie"),
+    )
+    no_match = F.col("_us").isNull()
+    for k in keys:
+        no_match = no_match | F.col(k).isNull()
+    lost = right.where(no_match).select("_probe", F.lit(None).cast(shape).alias("_last"))
+    cut = _in_time_blocks(left, right.where(~no_match), keys, "asof-blocks")
+    # the largest point of a block is its last one; ties at one time go to the largest values
+    ends = cut.where("_point is not null").groupBy(*keys, "_block").agg(F.max("_point").alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.select(*keys, "_block").distinct().join(ends, [*keys, "_block"], "left")
+    carried = blocks.select(*keys, "_block", F.max("_end").over(before).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_us", "_side").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    seen = cut.withColumn("_inside", F.max("_point").over(inside)).where("_probe is not null")
+    found = seen.join(carried, [*keys, "_block"]).select(
+        "_probe", F.greatest("_inside", "_carried").alias("_last")
+    )
+    return found.unionByName(lost).select(
+        *[F.col(f"_probe.{c}").alias(c) for c in probes.columns], "_last.matched_at",
+        *[F.col(f"_last.{v}").alias(v) for v in values],
+    )
+
+
+def counts_before(
+    probes: DataFrame, points: DataFrame, keys: Sequence[str], at: str, inclusive: str,
+    counts: dict[str, Column], point_at: str,
+) -> DataFrame:
+    """``probes`` with, per entry of ``counts``, how many points of its series fulfil it before ``at``.
+
+    Points at ``at`` itself count where the probe's boolean column ``inclusive`` is true. Points of one
+    instant are added up first; running sums inside a block and one row per series and block carry the
+    rest, so nothing grows with the number of (probe, point) pairs. Probes with a null key or time get 0.
+    """
+    names = list(counts)
+    left = (
+        points.where(F.col(point_at).isNotNull())
+        .groupBy(*keys, F.unix_micros(point_at).alias("_us"))
+        .agg(*[F.count_if(c).alias(f"_n_{n}") for n, c in counts.items()])
+        .withColumns({"_side": F.lit(1), "_tie": F.lit(0).cast("bigint")})
+    )
+    right = probes.select(
+        *keys, F.unix_micros(at).alias("_us"), F.when(F.col(inclusive), 2).otherwise(0).alias("_side"),
+        F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"),
+        F.xxhash64(*[c for c in probes.columns if c not in keys]).alias("_tie"),
+    )
+    no_match = F.col("_us").isNull()
+    for k in keys:
+        no_match = no_match | F.col(k).isNull()
+    cut = _in_time_blocks(left, right.where(~no_match), keys, "count-blocks")
+    per_block = cut.groupBy(*keys, "_block").agg(
+        *[F.coalesce(F.sum(f"_n_{n}"), F.lit(0)).alias(f"_b_{n}") for n in names]
+    )
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_block.select(
+        *keys, "_block", *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in names]
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy("_us", "_side").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    seen = cut.withColumns(
+        {f"_i_{n}": F.coalesce(F.sum(f"_n_{n}").over(inside), F.lit(0)) for n in names}
+    ).where("_probe is not null")
+    found = seen.join(carried, [*keys, "_block"]).select(
+        "_probe", *[(F.col(f"_i_{n}") + F.col(f"_c_{n}")).alias(n) for n in names]
+    )
+    lost = right.where(no_match).select("_probe", *[F.lit(0).cast("bigint").alias(n) for n in names])
+    return found.unionByName(lost).select(*[F.col(f"_probe.{c}").alias(c) for c in probes.columns], *names)

@@ -325,6 +325,17 @@ def metric_as_of(t: Tables) -> DataFrame:
     return rt.metric_as_of(t.samples, "2024-01-25", {"before": 5 * 86400, "after": 0})
 
 
+@query("""WITH s AS (SELECT env_key, service_name, metric, ts, max(value) AS value FROM v_samples GROUP BY ALL),
+    p AS (SELECT DISTINCT i.id AS incident_id, i.env_key, m.service_name, m.metric, i.detected_at FROM (SELECT id, env_key, detected_at, unnest(affected_services) AS name FROM v_incidents) i
+    JOIN (SELECT DISTINCT env_key, service_name, metric FROM s) m ON m.env_key = i.env_key AND m.service_name = i.name)
+    SELECT p.incident_id, p.env_key, p.service_name, p.metric, b.value AS before, a.value AS after FROM p
+    ASOF LEFT JOIN s a ON a.env_key = p.env_key AND a.service_name = p.service_name AND a.metric = p.metric AND a.ts <= p.detected_at
+    ASOF LEFT JOIN s b ON b.env_key = p.env_key AND b.service_name = p.service_name AND b.metric = p.metric AND b.ts <= p.detected_at - INTERVAL 5 DAY""")
+def metric_as_of_incidents(t: Tables) -> DataFrame:
+    """Each incident's metrics at its detection and five days before."""
+    return rt.metrics_at_incidents(t.incidents, t.samples, {"before": 5 * 86400, "after": 0})
+
+
 @query("""SELECT env_key, service_name, metric, before, after, round(after / before, 6) AS ratio, round(least(1.0, abs(after / before - 1) / 5), 6) AS confidence
     FROM (SELECT env_key, service_name, metric, arg_max(value, ts) FILTER (ts <= TIMESTAMP '2024-01-20') AS before,
     arg_max(value, ts) FILTER (ts <= TIMESTAMP '2024-01-25') AS after FROM v_samples GROUP BY ALL) WHERE before <> 0 AND after IS NOT NULL

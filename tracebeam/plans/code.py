@@ -149,6 +149,33 @@ def boundary_violations(t: Tables) -> DataFrame:
     )
 
 
+RULES = """SELECT row_number() OVER (ORDER BY p_partkey) AS position, 'rule' || p_partkey AS name,
+    CASE p_partkey % 4 WHEN 0 THEN 'pkg' || (p_partkey % 10) || '.p' || (p_partkey % 500) || '*' WHEN 1 THEN 'pkg' || (p_partkey % 10) || '.p' || (p_partkey % 100) || '?' ELSE '*' END AS source_pattern,
+    CASE p_partkey % 4 WHEN 0 THEN '*' WHEN 1 THEN 'svc*' WHEN 2 THEN 'svc' || (p_partkey % 10) || '.s' || (p_partkey % 20) || '[0-4]' ELSE 'svc' || (p_partkey % 10) || '.s' || p_partkey END AS forbidden_pattern,
+    CASE WHEN p_partkey % 3 > 0 THEN 'part ' || p_partkey END AS description FROM part"""
+
+
+@query(f"""WITH r AS ({RULES}), e AS (SELECT DISTINCT caller, callee FROM v_every_call),
+    hit AS (SELECT caller, callee, arg_min(name, position) AS name, arg_min(coalesce(description, ''), position) AS description FROM e JOIN r ON e.caller GLOB r.source_pattern AND e.callee GLOB r.forbidden_pattern GROUP BY ALL)
+    SELECT c.repo_key, c.caller, c.callee, h.name AS boundary_name, 'Boundary violation (' || h.name || '): ' || c.caller || ' depends on ' || c.callee || '. ' || h.description AS description
+    FROM v_every_call c JOIN hit h USING (caller, callee)""")
+def boundary_violations_table(t: Tables) -> DataFrame:
+    """All calls against one rule per part, read from a table."""
+    n, of = F.col("p_partkey"), lambda m: F.col("p_partkey") % m
+    kind = of(4)
+    rules = t.raw("part").select(
+        n.alias("position"), text("=rule", n).alias("name"),
+        F.when(kind == 0, text("=pkg", of(10), "=.p", of(500), "=*")).when(kind == 1, text("=pkg", of(10), "=.p", of(100), "=?"))
+        .otherwise("*").alias("source_pattern"),
+        F.when(kind == 0, "*").when(kind == 1, "svc*").when(kind == 2, text("=svc", of(10), "=.s", of(20), "=[0-4]"))
+        .otherwise(text("=svc", of(10), "=.s", n)).alias("forbidden_pattern"),
+        F.when(of(3) > 0, text("=part ", n)).alias("description"),
+    )
+    return dr.boundary_violations_by_table(t.every_call, rules).select(
+        "repo_key", "caller", "callee", "boundary_name", "description"
+    )
+
+
 @query("""SELECT kind, severity, caller, callee, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS severity_order FROM v_drift""")
 def detect_drift(t: Tables) -> DataFrame:
     return dr.detect_drift(t.calls, t.baseline, BOUNDARIES).select(

@@ -44,9 +44,11 @@ def incident_mentions(t: Tables) -> DataFrame:
 
 @query("""SELECT o_orderkey, CASE WHEN o_custkey % 25 < 20 THEN 'svc' || (o_custkey % 25) ELSE '' END AS services FROM orders""")
 def service_mentions(t: Tables) -> DataFrame:
-    names = [f"svc{n}" for n in range(20)]
-    found = texts.mentioned_names(F.col("text"), names)
-    return t.messages.select("o_orderkey", F.array_join(found, ";").alias("services"))
+    """Services of the service table that each message names."""
+    messages = t.messages
+    found = ex.name_mentions(messages, ["o_orderkey"], t.services)
+    listed = found.groupBy("o_orderkey").agg(F.array_join(F.sort_array(F.collect_list("name")), ";").alias("services"))
+    return messages.select("o_orderkey").join(listed, "o_orderkey", "left").na.fill("", ["services"])
 
 
 @query("""SELECT doc_id, CASE WHEN length(line) <= 120 THEN line ELSE substr(line, 1, 119) || '…' END AS clipped FROM (SELECT doc_id, replace(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), chr(10), ' ') AS line FROM documents)""")
