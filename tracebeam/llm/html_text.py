@@ -1,15 +1,19 @@
 """Main text of web pages by differencing each page with its nearest neighbours by URL.
 
-Pages of a host are put in the order of their URL paths; each page is aligned with the pages before
-and after it by a longest common subsequence of text lines, and lines outside an article that a
-neighbour shares are deleted. Differencing alone cannot give right results: menus and adverts may
-differ from page to page and articles may quote each other, so lines in an article element are
-never deleted, and regions whose tag, class or role marks a menu, advert or the like never kept.
-
-The order comes from a range sort of (host, path, page), not from one task per host, so a host may
-hold any share of the pages. Null or empty html gives an empty text; a null or odd URL counts as a
-host of its own name; pages with equal URLs are neighbours in the order of page_id; repeated rows
-each get their text. Only page_id, url and html are read.
+Pages of a host are put in the order of their URL paths, equal ones folded, so that each distinct page
+meets the nearest pages before and after it that differ from it. Each is aligned with both by a longest
+common subsequence of text lines. A line outside an article that a neighbour shares belongs to the site,
+not to the page, and is deleted; one that no neighbour shares is kept in its place, also beside an article.
+Two things are not left to differencing, as it cannot get them right: lines inside an article or main
+element are kept though a neighbour has them (articles quote each other), and regions whose tag, class or
+role marks a menu, advert, comment or the like are dropped though no neighbour has them (adverts differ
+from page to page). ``n_shared`` tells how many lines outside an article the neighbours share.
+
+Pages are parsed once and written as lines under a key of their own, so rows of one page_id and url with
+different html do not affect each other. The order comes from a range sort of (host, path, page), not from
+one task per host, so a host may hold any share of the pages. Null or empty html gives an empty text; a
+null or odd URL counts as a host of its own name; repeated rows each get their text; a page without a
+differing neighbour keeps its unmarked lines. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -22,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.llm.common import sized
+from tracebeam.llm.common import salted_lookup
 from tracebeam.operators.skew import numbered
 from tracebeam.session import materialize
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
 ARTICLE, OTHER, TEMPLATE = 1, 2, 0
 LCS_CELLS = 1 << 30  # bits of one alignment table; larger pairs are halved first
 
@@ -216,92 +219,76 @@ def url_path(url):
     )
 
 
-def line_hashes(pages: DataFrame) -> DataFrame:
-    """(page_id, url, lines, loose): hashes of all lines; ``loose`` the positions of deletable ones."""
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(key, page_id, url, texts, roles, lines, digest): every page parsed once, written under a key.
+
+    ``lines`` holds the hashes of the texts, ``digest`` names their list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            lines, loose = [], []
+            texts, roles, lines, digests = [], [], [], []
             for page in batch.column(2):
                 found = lines_of(page.as_py())
-                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in found])
-                only_other = all(role != ARTICLE for role, _ in found)
-                loose.append([i for i, (r, _) in enumerate(found) if only_other and r == OTHER])
+                texts.append([t for _, t in found])
+                roles.append([role for role, _ in found])
+                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts[-1]])
+                digests.append(xxhash.xxh3_128_hexdigest("\n".join(texts[-1])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64())),
-                 pa.array(loose, pa.list_(pa.int32()))],
-                ["page_id", "url", "lines", "loose"],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string())),
+                 pa.array(roles, pa.list_(pa.int8())), pa.array(lines, pa.list_(pa.int64())), pa.array(digests)],
+                ["page_id", "url", "texts", "roles", "lines", "digest"],
             )
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(
-        run, "page_id long, url string, lines array<long>, loose array<int>"
+    parsed = pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(
+        run, "page_id long, url string, texts array<string>, roles array<byte>, lines array<long>, digest string"
+    )
+    return materialize(
+        parsed.withColumns({"host": url_host(F.col("url")), "key": F.monotonically_increasing_id()}), "page-lines"
     )
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, shared): positions of deletable lines that a nearest page by URL shares."""
-    keyed = line_hashes(pages).select(
-        "page_id", "url", "lines", "loose", url_host(F.col("url")).alias("host"),
-        url_path(F.col("url")).alias("path"),
+def shared_lines(parsed: DataFrame) -> DataFrame:
+    """(host, digest, shared): positions of lines that the nearest differing page on either side has too."""
+    first = parsed.where(F.size("lines") > 0).groupBy("host", "digest").agg(
+        F.min(F.struct(url_path(F.col("url")).alias("path"), "page_id", "key")).alias("first")
     )
-    order = ["host", "path", "page_id"]
-    placed = materialize(numbered(keyed, order, "place"), "pages-by-url")
+    distinct = first.select("host", "digest", "first.*").join(parsed.select("key", "lines"), "key")
+    placed = materialize(numbered(distinct, ["host", "path", "page_id", "key"], "place"), "pages-by-url")
     beside = placed.select(
         F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"), "host",
         F.col("lines").alias("theirs"),
-    ).where(F.size("theirs") > 0)
-    # a copy of the page itself tells nothing about the site's template
-    pairs = placed.where(F.size("loose") > 0).join(beside, ["place", "host"]).where("lines <> theirs")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = []
-            for mine, loose, theirs in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                shared.append(sorted(common_lines(mine, theirs).intersection(loose)))
+            mine, theirs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            shared = [sorted(common_lines(a, b)) for a, b in zip(mine, theirs)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(shared, pa.list_(pa.int32()))],
-                ["page_id", "url", "shared"],
+                ["host", "digest", "shared"],
             )
 
-    found = pairs.select("page_id", "url", "lines", "loose", "theirs").mapInArrow(
-        run, "page_id long, url string, shared array<int>"
-    )
-    return (
-        found.where(F.size("shared") > 0)
-        .select("page_id", "url", F.explode("shared").alias("at"))
-        .groupBy("page_id", "url")
-        .agg(F.collect_set("at").alias("shared"))
+    pairs = placed.join(beside, ["place", "host"]).select("host", "digest", "lines", "theirs")
+    # two neighbours at most
+    return pairs.mapInArrow(run, "host string, digest string, shared array<int>").groupBy("host", "digest").agg(
+        F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")
     )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages``."""
-    shared = sized(
-        shared_lines(pages).select(
-            F.col("page_id").alias("_page"), F.col("url").alias("_url"), "shared"
-        ), "shared-lines", 100_000,
+    """(page_id, url, text, n_chars, n_shared) of every row of ``pages``."""
+    parsed = page_lines(pages)
+    # copies of one page may hold any share of the rows
+    joined = salted_lookup(parsed.drop("lines"), shared_lines(parsed), ["host", "digest"], ["key"])
+    role, told = lambda i: F.get("roles", i), F.coalesce("shared", F.array().cast("array<int>"))
+    kept = F.filter(
+        "texts",
+        lambda _, i: (role(i) == ARTICLE) | ((role(i) == OTHER) & ~F.array_contains(told, i)),
     )
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    joined = rows.join(
-        shared,
-        F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url")), "left",
-    ).select("page_id", "url", "html", "shared")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for page, gone in zip(batch.column(2), batch.column(3)):
-                found, gone = lines_of(page.as_py()), set(gone.as_py() or ())
-                main = [t for role, t in found if role == ARTICLE] or [
-                    t for i, (role, t) in enumerate(found) if role == OTHER and i not in gone
-                ]
-                texts.append("\n\n".join(main))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
-
-    return joined.mapInArrow(run, SCHEMA)
+    return joined.select(
+        "page_id", "url", F.array_join(kept, "\n\n").alias("text"),
+        F.size(F.filter(told, lambda i: role(i) != ARTICLE)).cast("long").alias("n_shared"),
+    ).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
