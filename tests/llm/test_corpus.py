@@ -117,6 +117,15 @@ def test_near_duplicates_of_odd_texts(make_docs):
     assert sorted(r["doc_id"] or 0 for r in stage.collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
 
 
+def test_near_dup_stage_judges_rows_not_ids(make_docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    docs = make_docs([(1, a), (1, a), (2, a), (2, b), (3, c), (None, a), (None, b + " more"), (None, "z"), (9, None), (9, "")])
+    stage = near_dup.near_dup_stage(docs)
+    assert stage.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in stage.collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, "z"), (9, None), (9, "")], key=repr)
+
+
 # -- quality --------------------------------------------------------------------------------------
 
 

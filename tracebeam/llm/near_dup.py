@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracebeam.llm.common import checked_lookup, components, drop_ids, sized
+from tracebeam.llm.common import components, salted_lookup
 from tracebeam.session import materialize
 
 SHINGLE = 5
@@ -162,7 +162,10 @@ def regions(heads: DataFrame) -> DataFrame:
 
 def leader_pairs(members: DataFrame, leaders: int, dense: int) -> DataFrame:
     """(a, b): each text with the leaders that most of its regions have in common with it."""
-    deep = members.where(F.col("n") > dense).groupBy("tree", "deep").agg(F.min("id").alias("leader"))
+    # written first, as the sizes in ``regions``, so that adaptive execution can split a hot region
+    deep = materialize(
+        members.where(F.col("n") > dense).groupBy("tree", "deep").agg(F.min("id").alias("leader")), "deep-leaders"
+    )
     votes = (
         members.select("id", "leader")
         .union(members.where(F.col("n") > dense).select("tree", "deep", "id")
@@ -262,8 +265,8 @@ def cross_pairs(
     shingle: int, percent: int, block: int,
 ) -> DataFrame:
     """(a, b): pairs of one region and different components that may be similar enough."""
-    labelled = checked_lookup(
-        members.select("tree", "near", "id"), labels.withColumnRenamed("node", "id"), ["id"], "labels"
+    labelled = members.select("tree", "near", "id").join(
+        labels.withColumnRenamed("node", "id"), "id", "left"
     ).select("tree", "near", "id", F.coalesce("component", "id").alias("component"))
     open_regions = labelled.groupBy("tree", "near").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")
@@ -274,8 +277,8 @@ def cross_pairs(
         ),
         "open-regions",
     )
-    ids = sized(cut.select(F.col("id").alias("_id")).distinct(), "open-texts")
-    open_texts = texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    ids = materialize(cut.select(F.col("id").alias("_id")).distinct(), "open-texts")
+    open_texts = materialize(texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"), "open-documents")
     own = own_counts(open_texts, shingle)
     fine = fine_signatures(open_texts, shingle)
     facts = materialize(
@@ -358,13 +361,13 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1").drop("copies")
     )
-    placed = checked_lookup(sets, copies, names, "copies").withColumn(
+    placed = salted_lookup(sets, materialize(copies, "copies"), names, ["doc_id", "hi"]).withColumn(
         "head", F.coalesce("head", "doc_id")
     )
     heads = placed.where("n_shingles > 0 and doc_id = head").select("doc_id", "hi", "n_shingles", "sig")
     members = materialize(regions(heads), "regions")
 
-    ids = sized(members.select(F.col("id").alias("_id")).distinct(), "candidates")
+    ids = materialize(members.select(F.col("id").alias("_id")).distinct(), "candidates")
     texts = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(ids, F.col("doc_id") == F.col("_id"), "left_semi"),
@@ -379,9 +382,8 @@ def near_duplicates(
     more = materialize(confirmed(rest, texts, shingle, percent), "linked")
     labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
-    named = checked_lookup(
-        placed.select("doc_id", "n_shingles", "head"), labels.withColumnRenamed("node", "head"),
-        ["head"], "components",
+    named = salted_lookup(
+        placed.select("doc_id", "n_shingles", "head"), labels.withColumnRenamed("node", "head"), "head", ["doc_id"]
     ).withColumn("component_id", F.coalesce("component", "head"))
     return named.select(
         "doc_id", "n_shingles", "component_id",
@@ -390,5 +392,31 @@ def near_duplicates(
 
 
 def near_dup_stage(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Documents of which no earlier one (by doc_id) is in the same component."""
-    return drop_ids(docs, near_duplicates(docs, shingle, percent).where("not kept"))
+    """One row of each group of near copies: the one of the smallest doc_id (rows without one come last).
+
+    Every row is a text of its own here, whatever other rows have its doc_id: of several rows of one id
+    each is judged by its text, and exact copies under one id, or without any, fold to one row. The rows
+    are written once under a key; texts without words stay.
+    """
+    mine = [f"_in_{k}" for k in range(len(docs.columns))]
+    keyed = materialize(
+        docs.select(*[docs[c].alias(m) for c, m in zip(docs.columns, mine)])
+        .withColumn("_row", F.monotonically_increasing_id()),
+        "stage-rows",
+    )
+    held = dict(zip(docs.columns, mine))
+    found = near_duplicates(
+        keyed.select(F.col("_row").alias("doc_id"), F.col(held["text"]).alias("text")), shingle, percent
+    ).select(F.col("doc_id").alias("_row"), "component_id")
+    # most texts are alone; a group of copies is reduced to its first row before the shuffle
+    groups = materialize(
+        found.where("component_id <> _row").select("component_id").distinct(), "stage-groups"
+    )
+    members = found.join(groups, "component_id").join(
+        keyed.select("_row", F.col(held["doc_id"]).cast("long").alias("doc_id")), "_row"
+    )
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = members.groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    gone = members.join(materialize(first.select("_row"), "stage-first"), "_row", "left_anti").select("_row")
+    kept = keyed.join(materialize(gone, "stage-gone"), "_row", "left_anti")
+    return kept.select(*[F.col(m).alias(c) for m, c in zip(mine, docs.columns)])
