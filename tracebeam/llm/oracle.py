@@ -61,13 +61,13 @@ base AS (
 judged AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 metrics AS (
-  SELECT r, key, key_lang, base_failed, 'word_length' AS metric, word_chars * 100 // n_words AS v, 100 AS narrow
+  SELECT r, key, key_lang, base_failed, 'word_length' AS metric, word_chars * 100 // n_words AS v, 10 AS narrow
   FROM judged WHERE n_words > 0
-  UNION ALL SELECT r, key, key_lang, base_failed, 'symbols', n_symbols * 1000 // n_words, 60
+  UNION ALL SELECT r, key, key_lang, base_failed, 'symbols', n_symbols * 1000 // n_words, 10
   FROM judged WHERE n_words > 0
-  UNION ALL SELECT r, key, key_lang, base_failed, 'dup_lines', n_dup_lines * 1000 // n_lines, 150
+  UNION ALL SELECT r, key, key_lang, base_failed, 'dup_lines', n_dup_lines * 1000 // n_lines, 40
   FROM judged WHERE n_words > 0 AND n_lines > 0
-  UNION ALL SELECT r, key, key_lang, base_failed, 'repeats', n_repeat_words * 1000 // n_words, 40
+  UNION ALL SELECT r, key, key_lang, base_failed, 'repeats', n_repeat_words * 1000 // n_words, 10
   FROM judged WHERE n_words > 0),
 sketch AS (
   SELECT level, spot, metric, bucket, count(*) AS n FROM (
@@ -75,19 +75,23 @@ sketch AS (
     UNION ALL SELECT 1, key_lang, metric, {_BUCKET} FROM metrics WHERE NOT base_failed
     UNION ALL SELECT 2, '*', metric, {_BUCKET} FROM metrics WHERE NOT base_failed)
   GROUP BY level, spot, metric, bucket),
-quartiles AS (
-  SELECT level, spot, metric, max(total) AS total, min(CASE WHEN 4 * seen >= total THEN bucket END) AS q1,
-         min(CASE WHEN 4 * seen >= 3 * total THEN bucket END) AS q3
+tails AS (
+  SELECT level, spot, metric, max(total) AS total, min(CASE WHEN 100 * seen >= 5 * total THEN bucket END) AS lo,
+         min(CASE WHEN 100 * seen >= 50 * total THEN bucket END) AS mid,
+         min(CASE WHEN 100 * seen >= 95 * total THEN bucket END) AS hi
   FROM (SELECT *, sum(n) OVER (PARTITION BY level, spot, metric ORDER BY bucket) AS seen,
                sum(n) OVER (PARTITION BY level, spot, metric) AS total FROM sketch)
   GROUP BY level, spot, metric),
+chosen AS (
+  SELECT m.r, m.v, m.narrow, coalesce(a.lo, b.lo, c.lo) AS lo, coalesce(a.mid, b.mid, c.mid) AS mid,
+         coalesce(a.hi, b.hi, c.hi) AS hi
+  FROM metrics m
+  LEFT JOIN tails a ON a.level = 0 AND a.spot = m.key AND a.metric = m.metric AND a.total >= 200
+  LEFT JOIN tails b ON b.level = 1 AND b.spot = m.key_lang AND b.metric = m.metric AND b.total >= 200
+  LEFT JOIN tails c ON c.level = 2 AND c.metric = m.metric),
 outside AS (
-  SELECT DISTINCT m.r FROM metrics m
-  LEFT JOIN quartiles a ON a.level = 0 AND a.spot = m.key AND a.metric = m.metric AND a.total >= 200
-  LEFT JOIN quartiles b ON b.level = 1 AND b.spot = m.key_lang AND b.metric = m.metric AND b.total >= 200
-  LEFT JOIN quartiles c ON c.level = 2 AND c.metric = m.metric
-  WHERE m.v < coalesce(a.q1, b.q1, c.q1) - 4 * greatest(coalesce(a.q3 - a.q1, b.q3 - b.q1, c.q3 - c.q1), narrow)
-     OR m.v > coalesce(a.q3, b.q3, c.q3) + 4 * greatest(coalesce(a.q3 - a.q1, b.q3 - b.q1, c.q3 - c.q1), narrow))
+  SELECT DISTINCT r FROM chosen
+  WHERE v < lo - 4 * greatest(mid - lo, narrow) OR v > hi + 4 * greatest(hi - mid, narrow))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND o.r IS NULL AS kept
 FROM judged j LEFT JOIN outside o ON o.r = j.r

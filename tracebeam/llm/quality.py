@@ -3,7 +3,12 @@
 A sketch is a table of counts per value bucket (exact up to 64, then six leading bits, so a quantile
 is off by 1/32 of its value at most). Two sketches merge by adding counts, which Spark does map-side;
 a group with too few documents uses the merged sketch of its language, then that of all documents.
-The limits are quartile fences, not fixed cutoffs: a document is judged against its own group.
+The limits are learned from the tails, not fixed cutoffs: of each metric the group's middle, fifth and
+ninety-fifth percentile are read off its sketch, and a document is out if it lies further beyond its tail
+than ``FENCE`` times the distance from the middle to that tail. Where nineteen of twenty sound texts of a
+group have the same value the distance is 0; a small floor (``METRICS``) then leaves room for a chance
+character or line. On the tables of the tests the floor applies to repeated lines and, in the larger ones,
+to no other metric.
 
 Everything is a column expression. Nulls: a null text has no words and fails the base rules; null
 languages or sources form groups of their own. Repeated rows are judged alike and all returned.
@@ -24,10 +29,11 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-#: metric -> narrowest spread (in its unit) that counts as one quartile distance
-METRICS = {"word_length": 100, "symbols": 60, "dup_lines": 150, "repeats": 40}
+#: metric -> least distance (in its unit) from the middle to a tail
+METRICS = {"word_length": 10, "symbols": 10, "dup_lines": 40, "repeats": 10}
 MIN_GROUP = 200
 FENCE = 4
+TAIL_PERCENT = 5
 # groups whose limits (a few hundred bytes) are sent to the tasks; beyond, a salted join
 SENT_GROUPS = 100_000
 
@@ -138,9 +144,8 @@ def fences(
 ) -> DataFrame:
     """(key, metric, low, high) of every group, from its own sketch or a merged, larger one.
 
-    low = q1 - fence * spread and high = q3 + fence * spread with spread = q3 - q1, at least the
-    metric's narrowest spread. Windows run over the buckets of a sketch (below 2000), never over
-    documents.
+    low = p5 - fence * (p50 - p5) and high = p95 + fence * (p95 - p50), each distance at least the
+    metric's floor. Windows run over the buckets of a sketch (below 2000), never over documents.
     """
     lang, source = groups
     levels = None
@@ -153,10 +158,10 @@ def fences(
     seen = levels.withColumn("seen", F.sum("n").over(of_sketch.orderBy("bucket"))).withColumn(
         "total", F.sum("n").over(of_sketch)
     )
-    quartiles = seen.groupBy("level", "at", "metric").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(4 * F.col("seen") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("seen") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
+    percentile = lambda p: F.min(F.when(100 * F.col("seen") >= p * F.col("total"), F.col("bucket")))
+    tails = seen.groupBy("level", "at", "metric").agg(
+        F.max("total").alias("total"), percentile(TAIL_PERCENT).alias("lo"), percentile(50).alias("mid"),
+        percentile(100 - TAIL_PERCENT).alias("hi"),
     )
     keys = sketch.select(
         group_key(lang, source).alias("key"), F.explode(F.array(
@@ -165,17 +170,18 @@ def fences(
             F.struct(F.lit(2).alias("level"), F.lit("*").alias("at")),
         )).alias("k"), "metric",
     ).distinct().select("key", "k.level", "k.at", "metric")
-    narrowest = F.create_map(*[F.lit(x) for item in METRICS.items() for x in item])
-    usable = keys.join(quartiles, ["level", "at", "metric"]).where(
+    floors = F.create_map(*[F.lit(x) for item in METRICS.items() for x in item])
+    usable = keys.join(tails, ["level", "at", "metric"]).where(
         (F.col("total") >= min_group) | (F.col("level") == 2)
     )
     best = usable.groupBy("key", "metric").agg(
-        F.min_by(F.struct("q1", "q3"), "level").alias("q")
+        F.min_by(F.struct("lo", "mid", "hi"), "level").alias("q")
     )
-    spread = F.greatest(F.col("q.q3") - F.col("q.q1"), F.element_at(narrowest, F.col("metric")))
+    least = F.element_at(floors, F.col("metric"))
     return best.select(
-        "key", "metric", (F.col("q.q1") - fence * spread).alias("low"),
-        (F.col("q.q3") + fence * spread).alias("high"),
+        "key", "metric",
+        (F.col("q.lo") - fence * F.greatest(F.col("q.mid") - F.col("q.lo"), least)).alias("low"),
+        (F.col("q.hi") + fence * F.greatest(F.col("q.hi") - F.col("q.mid"), least)).alias("high"),
     )
 
 
