@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from tracebeam.functions.embedding import hash_embedding
 from tracebeam.functions.scores import cosine
 from tracebeam.operators import memory as ops
+from tracebeam.operators import memory_store
 from tracebeam.operators import retrieval as re_
 from tracebeam.operators import runtime as rt
+from tracebeam.operators import search_index
 from tracebeam.operators import tables as tb
 from tracebeam.operators import transcripts as tr
 from tracebeam.plans.causality import six
 from tracebeam.plans.registry import query
 from tracebeam.plans.views import AS_OF, Tables, text
-from tracebeam.session import spread
+from tracebeam.session import scratch_path, spread
 
 TOP = """SELECT query_id, id, qualified_name, parent, repo_key, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM v_sims"""
 
@@ -38,6 +40,14 @@ def vector_search(t: Tables) -> DataFrame:
     return re_.vector_search(query_vectors(t), t.vectors).select("query_id", "id", "rank", *six("similarity"))
 
 
+@query(f"SELECT query_id, id, rank, round(sim, 6) AS similarity FROM ({TOP}) WHERE rank <= 10")
+def vector_search_indexed(t: Tables) -> DataFrame:
+    """The same search through a stored index with small cells."""
+    path = scratch_path(t.spark, "search-index")
+    search_index.build_index(t.vectors, path, cell_rows=32)
+    return search_index.search_index(query_vectors(t), path, 10).select("query_id", "id", "rank", *six("similarity"))
+
+
 @query(f"""SELECT query_id, id, rank, round(sim, 6) AS similarity FROM (SELECT s.query_id, s.id, s.sim, row_number() OVER (PARTITION BY s.query_id ORDER BY s.sim DESC, s.id) AS rank
     FROM v_sims s WHERE s.id % 2 = 0 AND s.repo_key = 'repo2') WHERE rank <= 3""")
 def vector_search_scoped(t: Tables) -> DataFrame:
@@ -278,6 +288,46 @@ def remember_documents(t: Tables) -> DataFrame:
     return log.groupBy("repo_key", "outcome").agg(F.count(F.lit(1)).alias("writes"))
 
 
+INTO_STORE = """WITH s AS (SELECT id, repo_key, CASE WHEN n % 17 > 0 THEN vector END AS vector, recall_hits FROM v_memories),
+    q AS (SELECT n, repo_key, CASE WHEN n % 19 > 0 THEN list_transform(list_zip(vector, list_reverse(vector)), lambda p: p[1] + (n % 4 * 0.25)::DOUBLE * p[2]) END AS v,
+    CASE WHEN n % 3 > 0 THEN 'src' || (n % 3) ELSE 'direct:' || origin_agent || ':' || user_id END AS source FROM v_memories),
+    hit AS (SELECT * FROM (SELECT q.n, q.source, s.id, row_number() OVER (PARTITION BY q.n ORDER BY round(list_cosine_similarity(q.v, s.vector), 9) DESC, s.id) AS r,
+    round(list_cosine_similarity(q.v, s.vector), 9) AS sim FROM q JOIN s ON s.repo_key = q.repo_key AND s.vector IS NOT NULL AND q.v IS NOT NULL) WHERE r = 1 AND sim >= 0.95),
+    fresh AS (SELECT * FROM q WHERE n NOT IN (SELECT n FROM hit)),
+    folds AS (SELECT id AS memory, batch, n, source FROM hit, (SELECT unnest([0, 1]) AS batch) UNION ALL SELECT 'new-' || n, 1, n, source FROM fresh WHERE v IS NOT NULL),
+    told AS (SELECT memory, count(*) AS hits, string_agg(source, ';' ORDER BY batch, n) AS sources FROM folds GROUP BY 1),
+    stored AS (SELECT id AS memory, recall_hits FROM s UNION ALL SELECT 'new-' || n, 0 FROM fresh UNION ALL SELECT 'new-' || (n + 1000000), 0 FROM fresh WHERE v IS NULL)
+    SELECT memory, recall_hits + coalesce(hits, 0) AS recall_hits, coalesce(sources, '') AS sources FROM stored LEFT JOIN told USING (memory)"""
+
+
+@query(INTO_STORE)
+def remember_into_store(t: Tables) -> DataFrame:
+    """All memories asked again, twice, into a store that holds them; then compacted and read back."""
+    store = scratch_path(t.spark, "memory-store")
+    n = F.substring("id", 5, 12).cast("bigint")
+    held = t.memories.select("id", "repo_key", "question", F.when(n % 17 > 0, F.col("vector")).alias("vector"), "recall_hits")
+    memory_store.create_store(held, store)
+    again = asked_again(t).select(F.col("query_id").alias("id"), F.col("vector").alias("asked"))
+    asked = t.memories.join(again, "id").select(
+        n.alias("seq"), "repo_key", "question", F.when(n % 19 > 0, F.col("asked").cast("array<float>")).alias("vector"),
+        F.when(n % 3 > 0, text("=src", n % 3)).alias("source"), "origin_agent", "user_id",
+    )
+    for batch, shift in ((0, 0), (1, 1_000_000)):
+        memory_store.remember_into_store(asked.withColumn("seq", F.col("seq") + shift), store, batch)
+    memory_store.compact(t.spark, store)
+    log = t.spark.read.parquet(f"{store}/write_log").where("outcome = 'inserted'")
+    names = log.select(F.col("resulting_memory_id").alias("id"), text("=new-", "seq").alias("new"))
+    told = (
+        memory_store.read_sources(t.spark, store).groupBy(F.col("memory_id").alias("id"))
+        .agg(F.sort_array(F.collect_list(F.struct("batch", "seq", "source"))).alias("s"))
+    )
+    kept = memory_store.read_store(t.spark, store).join(names, "id", "left").join(told, "id", "left")
+    return kept.select(
+        F.coalesce("new", "id").alias("memory"), "recall_hits",
+        F.coalesce(F.array_join("s.source", ";"), F.lit("")).alias("sources"),
+    )
+
+
 def replies_of(t: Tables) -> DataFrame:
     claim = lambda n: F.struct(
         text(f"=claim {n} of ", "o_orderkey").alias("claim"),
