@@ -328,6 +328,16 @@ def causes_for_incident(
     return rank_causes(edges, limit)
 
 
+def newest_incidents(incidents: DataFrame, as_of, lookback_hours: int = 168, limit: int = 20) -> DataFrame:
+    """The ``limit`` newest incidents of the last hours; link these instead of all."""
+    age = seconds_between(F.col("detected_at"), instant(as_of)) / 3600.0
+    return (
+        incidents.where(F.col("detected_at").isNotNull() & (F.floor(age) <= lookback_hours))
+        .orderBy(F.desc("detected_at"), F.desc("id"))
+        .limit(limit)
+    )
+
+
 def recent_incident_causes(
     incidents: DataFrame,
     preceded: DataFrame,
@@ -341,12 +351,8 @@ def recent_incident_causes(
     The newest ``limit`` incidents are taken first and the ones without causes dropped after, so
     fewer rows may come back.
     """
-    age = seconds_between(F.col("detected_at"), instant(as_of)) / 3600.0
-    recent = (
-        incidents.where(F.col("detected_at").isNotNull() & (F.floor(age) <= lookback_hours))
-        .orderBy(F.desc("detected_at"), F.desc("id"))
-        .limit(limit)
-        .select(F.col("id").alias("incident_id"), "detected_at", "severity", "summary")
+    recent = newest_incidents(incidents, as_of, lookback_hours, limit).select(
+        F.col("id").alias("incident_id"), "detected_at", "severity", "summary"
     )
     # ``recent`` has at most ``limit`` rows, so broadcasting it is bounded
     mine = preceded.drop("env_key").join(F.broadcast(recent), "incident_id")

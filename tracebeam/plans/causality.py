@@ -12,6 +12,7 @@ from tracebeam.operators import replay as rp
 from tracebeam.operators import runtime as rt
 from tracebeam.plans.registry import query
 from tracebeam.plans.views import AS_OF, Tables
+from tracebeam.session import materialize
 
 KEYS = ["incident_id", "kind", "event_key", "at"]
 
@@ -109,8 +110,8 @@ def causes_for_incident(t: Tables) -> DataFrame:
     WHERE floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(detected_at)) / 1000000.0 / 3600.0) <= 168
     ORDER BY detected_at DESC, id DESC LIMIT 20) r JOIN v_ranked c ON c.incident_id = r.incident_id AND c.rank <= 3 GROUP BY ALL""")
 def recent_incident_causes(t: Tables) -> DataFrame:
-    links = ops.link_incidents(t.incidents, t.causes)
-    recent = ops.recent_incident_causes(t.incidents, links, AS_OF)
+    newest = materialize(ops.newest_incidents(t.incidents, AS_OF), "newest-incidents")
+    recent = ops.recent_incident_causes(newest, ops.link_incidents(newest, t.causes), AS_OF)
     return recent.select(
         "incident_id", "detected_at", "severity", F.size("causes").cast("bigint").alias("n_causes"),
         F.col("causes")[0]["kind"].alias("top_kind"),

@@ -12,6 +12,7 @@ from tracebeam.operators import drift as dr
 from tracebeam.operators import runtime as rt
 from tracebeam.plans.registry import query
 from tracebeam.plans.views import AS_OF, Tables, text
+from tracebeam.session import materialize
 
 BOUNDARIES = (
     dr.Boundary("one-to-two", "pkg1.*", "svc2.s*2", "keep apart"),
@@ -184,8 +185,8 @@ def detect_drift(t: Tables) -> DataFrame:
 
 
 def findings_of(t: Tables) -> DataFrame:
-    links = ca.link_incidents(t.incidents, t.causes)
-    recent = ca.recent_incident_causes(t.incidents, links, AS_OF)
+    newest = materialize(ca.newest_incidents(t.incidents, AS_OF), "newest-incidents")
+    recent = ca.recent_incident_causes(newest, ca.link_incidents(newest, t.causes), AS_OF)
     return dr.scan_findings(dr.detect_drift(t.calls, t.baseline, BOUNDARIES), recent)
 
 

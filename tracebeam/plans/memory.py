@@ -56,7 +56,7 @@ def vector_search_scoped(t: Tables) -> DataFrame:
 
 
 HYBRID = f"""WITH hits AS (SELECT query_id, repo_key, qualified_name, parent, sim AS score, min(sim) OVER (PARTITION BY query_id) AS worst,
-    count(*) OVER (PARTITION BY query_id) AS n FROM ({TOP}) WHERE rank <= 5),
+    count(*) OVER (PARTITION BY query_id) AS n FROM ({TOP}) WHERE rank <= 20),
     near AS (SELECT DISTINCT h.query_id, h.worst, h.n, x.name FROM hits h JOIN (SELECT DISTINCT repo_key, parent, parent AS name FROM v_vectors
     UNION ALL SELECT repo_key, parent, qualified_name FROM v_vectors) x ON x.repo_key = h.repo_key AND x.parent = h.parent),
     fresh AS (SELECT n.* FROM near n ANTI JOIN hits h ON h.query_id = n.query_id AND h.qualified_name = n.name),
@@ -66,7 +66,7 @@ HYBRID = f"""WITH hits AS (SELECT query_id, repo_key, qualified_name, parent, si
 
 
 def hybrid(t: Tables) -> DataFrame:
-    return re_.hybrid_retrieve(query_vectors(t), t.vectors, t.vector_contains, vector_top_k=5)
+    return re_.hybrid_retrieve(query_vectors(t), t.vectors, t.vector_contains)
 
 
 @query(f"{HYBRID} SELECT query_id, qualified_name, source, rank, round(score, 6) AS score FROM best")
