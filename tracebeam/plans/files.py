@@ -11,7 +11,7 @@ from tracebeam.plans.causality import six
 from tracebeam.plans.code import BOUNDARIES
 from tracebeam.plans.registry import query
 from tracebeam.plans.views import Tables, text
-from tracebeam.session import scratch_path, spread
+from tracebeam.session import materialize, scratch_path, spread
 from tracebeam.sources import reports, runtime_files, source_tree, transcripts
 
 
@@ -299,13 +299,30 @@ def snapshot_round_trip(t: Tables) -> DataFrame:
 
 
 def report_of(t: Tables) -> tuple[DataFrame, DataFrame]:
-    findings = dr.scan_findings(dr.detect_drift(t.calls, t.baseline, BOUNDARIES))
+    # the findings are numbered, counted and written: evaluated once
+    findings = materialize(dr.scan_findings(dr.detect_drift(t.calls, t.baseline, BOUNDARIES)), "findings")
     report = dr.quality_gate(findings, "strict").withColumn("repo_key", F.lit("all")).withColumn(
         "started_at", F.lit("2024-01-31").cast("timestamp")
     )
     return findings, report
 
 
+@query("""SELECT DISTINCT rule_id, CASE rule_id WHEN 'drift/boundary_violation' THEN 'Declared boundary broken' WHEN 'drift/new_dependency' THEN 'Dependency added'
+    WHEN 'drift/removed_dependency' THEN 'Dependency gone' END AS short, true AS has_full FROM v_findings""")
+def sarif_rules(t: Tables) -> DataFrame:
+    """Rule descriptors of all SARIF documents."""
+    schema = (
+        "struct<runs: array<struct<tool: struct<driver: struct<rules: array<struct<id: string, "
+        "shortDescription: struct<text: string>, fullDescription: struct<text: string>>>>>>>>"
+    )
+    rules = F.from_json("sarif", schema)["runs"][0]["tool"]["driver"]["rules"]
+    told = reports.findings_to_sarif(*report_of(t)).select(F.explode(rules).alias("r"))
+    return told.select(
+        F.col("r.id").alias("rule_id"), F.col("r.shortDescription.text").alias("short"),
+        F.col("r.fullDescription.text").isNotNull().alias("has_full"),
+    ).distinct()
+
+
 @query("""SELECT rule_id, CASE severity WHEN 'critical' THEN 'error' ELSE severity END AS level, message, '.' AS uri FROM v_findings""")
 def sarif_report(t: Tables) -> DataFrame:
     """All SARIF documents read back into their results."""

@@ -99,6 +99,35 @@ def _extra() -> Column:
     )
 
 
+#: rule id -> what the rule reports, in short and at length
+RULES = {
+    "drift/boundary_violation": (
+        "Declared boundary broken",
+        "Code on one side of a declared boundary now depends on the other side. The boundary is a rule of the team.",
+    ),
+    "drift/new_dependency": (
+        "Dependency added", "A call that the stored baseline does not know. Compare it with the purpose of the change.",
+    ),
+    "drift/removed_dependency": (
+        "Dependency gone", "A call of the stored baseline is no longer there. Make sure that nothing was lost with it.",
+    ),
+    "incident/recent-cause": (
+        "Probable cause of a recent incident", "The event that explains an incident of the last days best, with its score.",
+    ),
+}
+
+
+def rule_descriptor(rule: Column) -> Column:
+    """Descriptor of a rule; one without an entry has its id alone."""
+    text = lambda k: F.create_map(*[F.lit(x) for r, texts in RULES.items() for x in (r, texts[k])])
+    described = lambda k: F.when(
+        F.try_element_at(text(k), rule).isNotNull(), F.struct(F.try_element_at(text(k), rule).alias("text"))
+    )
+    return F.struct(
+        rule.alias("id"), described(0).alias("shortDescription"), described(1).alias("fullDescription")
+    )
+
+
 def findings_to_sarif(
     findings: DataFrame, report: DataFrame, per_part: int = FINDINGS_PER_PART
 ) -> DataFrame:
@@ -135,7 +164,7 @@ def findings_to_sarif(
         F.struct(
             F.struct(
                 F.lit(TOOL_NAME).alias("name"),
-                F.transform("rules", lambda r: F.struct(r.alias("id"))).alias("rules"),
+                F.transform("rules", rule_descriptor).alias("rules"),
             ).alias("driver")
         ).alias("tool"),
         F.array(
