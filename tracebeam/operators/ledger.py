@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracebeam.functions.texts import strip
+from tracebeam.functions.texts import strip, truncate
 from tracebeam.functions.times import instant, trailing
-from tracebeam.operators.skew import first_per_key, range_blocks, running_total
+from tracebeam.operators.skew import first_per_key, range_blocks, running_total, salted_join
+
+# Fixed value: characters of a file that go into a fix context.
+MAX_FILE_CHARS = 2000
 
 # Bar width of the day report, confidence gate of fixes, size of an embed-only call.
 BAR_WIDTH = 30
@@ -180,23 +183,39 @@ def fix_confidence(top_causes: DataFrame, replay_confidence: DataFrame) -> DataF
     )
 
 
-def fix_context(causes: DataFrame, services: DataFrame, max_files: int = 5) -> DataFrame:
+def fix_context(
+    causes: DataFrame, services: DataFrame, max_files: int = 5, files: DataFrame | None = None,
+    max_chars: int = MAX_FILE_CHARS,
+) -> DataFrame:
     """Files to look at per incident: of the first ``max_files`` causes, the cause's own file or
-    the first file of its service, each once."""
+    the first file of its service, each once.
+
+    A service is looked up in the environment of the cause (in any, by name, if causes have none). With
+    ``files`` (path, source) each file comes with its ``body``, cut to ``max_chars``; files that are not
+    there are left out. Texts are joined last, only for the paths chosen.
+    """
+    by_env = ["env_key"] if "env_key" in causes.columns else []
     first_file = first_per_key(
         services.select(
             F.col("name").alias("service_name"),
             F.try_element_at("file_paths", F.lit(1)).alias("service_file"), "env_key",
         ),
-        ["service_name"], [F.asc("env_key")], 1,
-    ).drop("env_key")
+        [*by_env, "service_name"], [F.asc("env_key"), F.asc("service_file")], 1,
+    ).select(*by_env, "service_name", "service_file")
     own = F.col("file_path") if "file_path" in causes.columns else F.lit(None).cast("string")
     path = F.coalesce(F.nullif(own, F.lit("")), F.col("service_file"))
-    near = causes.where(F.col("rank") <= max_files).join(first_file, "service_name", "left")
+    near = causes.where(F.col("rank") <= max_files).join(first_file, [*by_env, "service_name"], "left")
     found = near.withColumn("path", path).where(F.col("path").isNotNull())
-    return first_per_key(found, ["incident_id", "path"], [F.asc("rank")], 1).select(
+    chosen = first_per_key(found, ["incident_id", "path"], [F.asc("rank")], 1).select(
         "incident_id", "path", "rank", "kind", "confidence"
     )
+    if files is None:
+        return chosen
+    bodies = first_per_key(files.select("path", "source"), ["path"], [F.asc("source")], 1).select(
+        "path", truncate(F.col("source"), max_chars, f"... [truncated at {max_chars} chars]").alias("body")
+    )
+    # one file may serve many incidents
+    return salted_join(chosen, bodies, ["path"], ["incident_id"])
 
 
 def parse_diffs(replies: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def fix_confidence(t: Tables) -> DataFrame:
 
 
 @query("""SELECT incident_id, path, rank, kind, round(confidence, 6) AS confidence FROM (SELECT r.*, f.path, row_number() OVER (PARTITION BY incident_id, f.path ORDER BY rank) AS n
-    FROM v_ranked r JOIN (SELECT name, arg_min(file_paths[1], env_key) AS path FROM v_services GROUP BY 1) f ON f.name = r.service_name WHERE rank <= 5) WHERE n = 1""")
+    FROM v_ranked r JOIN (SELECT env_key, name, min(file_paths[1]) AS path FROM v_services GROUP BY ALL) f ON f.name = r.service_name AND f.env_key = r.env_key WHERE rank <= 5) WHERE n = 1""")
 def fix_context(t: Tables) -> DataFrame:
     top = ca.rank_causes(ca.score_causes(t.incidents, t.causes), 5)
     return ops.fix_context(top, t.services, 5).select(
@@ -108,6 +108,20 @@ def fix_context(t: Tables) -> DataFrame:
     )
 
 
+@query("""SELECT c.incident_id, c.path, c.rank, CASE WHEN length(x.source) > 300 THEN substr(x.source, 1, 300) || chr(10) || '... [truncated at 300 chars]' ELSE x.source END AS body FROM (
+    SELECT incident_id, path, rank, row_number() OVER (PARTITION BY incident_id, path ORDER BY rank) AS n FROM (SELECT r.incident_id, r.rank, f.path FROM v_ranked r
+    JOIN (SELECT env_key, name, min(file_paths[1]) AS path FROM v_services GROUP BY ALL) f ON f.name = r.service_name AND f.env_key = r.env_key WHERE rank <= 5)) c
+    JOIN (SELECT 'pkg' || p_partkey || '/m.py' AS path, repeat(p_name || ' ', p_partkey * 2) AS source FROM part WHERE p_partkey % 3 > 0) x ON x.path = c.path WHERE c.n = 1""")
+def fix_context_files(t: Tables) -> DataFrame:
+    """Fix context with the text of each file, cut to 300 characters."""
+    top = ca.rank_causes(ca.score_causes(t.incidents, t.causes), 5)
+    n = F.col("p_partkey")
+    files = t.raw("part").where(n % 3 > 0).select(
+        text("=pkg", n, "=/m.py").alias("path"), F.repeat(F.concat("p_name", F.lit(" ")), (n * 2).cast("int")).alias("source")
+    )
+    return ops.fix_context(top, t.services, 5, files, 300).select("incident_id", "path", "rank", "body")
+
+
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 2 THEN '' ELSE '--- a/src/m' || (o_custkey % 7) || '.py' || chr(10) || '+++ b/src/m' || (o_custkey % 7) || '.py'
     || chr(10) || '@@ -1 +1 @@' || chr(10) || '-x' || chr(10) || '+y' || chr(10) END AS diff, CASE o_orderkey % 3 WHEN 2 THEN '' ELSE 'src/m' || (o_custkey % 7) || '.py' END AS files,
     CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE 'patches b/src/m' || (o_custkey % 7) || '.py' END AS headline FROM orders""")
