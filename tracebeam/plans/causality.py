@@ -168,7 +168,7 @@ def incident_timeline_first(t: Tables) -> DataFrame:
 @query("""SELECT incident_id, service_name, kind, at, marker FROM v_marked""")
 def mark_timeline(t: Tables) -> DataFrame:
     top = ops.rank_causes(ops.score_causes(t.incidents, t.causes), 5)
-    return rp.mark_timeline(rp.build_timeline(t.runtime), top).select(
+    return rp.build_timeline(t.runtime, causes=top).select(
         "incident_id", "service_name", "kind", "at", "marker"
     )
 
