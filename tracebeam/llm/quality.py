@@ -237,12 +237,12 @@ def quality_stage(docs: DataFrame) -> DataFrame:
     """Rows that pass, with all their columns.
 
     Each row is judged by its own text, whatever other rows have its doc_id (null included). Texts are
-    measured for the sketches and again with their row, so that they are never written in between.
+    measured once, and the rows written with what was measured: reading them again costs less.
     """
-    sketch = materialize(sketches(measure(docs, ["lang", "source"])), "quality-sketches")
-    limits = materialize(group_limits(sketch), "quality-limits")
     whole = docs.select(F.struct("*").alias("_doc"), "text", "lang", "source")
-    rows = measure(whole, ["_doc", "lang", "source"]).withColumn("_key", group_key("lang", "source"))
+    rows = materialize(measure(whole, ["_doc", "lang", "source"]), "quality-rows")
+    limits = materialize(group_limits(sketches(rows)), "quality-limits")
+    rows = rows.withColumn("_key", group_key("lang", "source"))
     if limits.count() <= SENT_GROUPS:
         joined = rows.join(F.broadcast(limits), "_key", "left")
     else:
