@@ -1,9 +1,10 @@
-"""Near-duplicate components by an LSH forest of MinHash signatures, confirmed on full sets.
+"""Near-duplicate components by trees of MinHash prefixes, confirmed on full sets.
 
 Texts with equal shingle sets are folded first. A signature holds ``TREES`` sequences of ``DEPTH``
-min-hashes; each tree orders the signatures by its own sequence, and those that agree in the first
-``LEAST_DEPTH`` values form a region, whose members are candidates. Where a region is dense, the
-search goes deeper: members also look for partners that agree in all ``DEPTH`` values.
+min-hashes; in each tree, signatures that agree in the first ``LEAST_DEPTH`` values form a region, whose
+members are candidates. Where a region is dense, members also look for partners that agree in all
+``DEPTH`` values. Regions are equal prefixes of these two depths: the signatures are not sorted and no
+longest common prefixes are measured, as in a forest with free depth (the README says why).
 
 Round 1 confirms each text against the few region leaders it meets most often, and links what it
 confirms into components. Round 2 looks at regions that still hold more than one component: every
