@@ -7,10 +7,11 @@ not to the page, and is deleted; one that no neighbour shares is kept in its pla
 Two things are not left to differencing, as it cannot get them right: lines inside an article or main
 element are kept though a neighbour has them (articles quote each other), and regions whose tag, class or
 role marks a menu, advert, comment or the like are dropped though no neighbour has them (adverts differ
-from page to page). ``n_shared`` tells how many lines outside an article the neighbours share.
+from page to page). ``n_shared`` tells how many lines were deleted.
 
-Pages are parsed once and written as lines under a key of their own, so rows of one page_id and url with
-different html do not affect each other. The order comes from a range sort of (host, path, page), not from
+What a page loses is kept by host and hash of the html, so rows of one page_id and url with different html
+do not affect each other. Pages are parsed twice, for the hashes of their lines and for their text: writing
+the texts in between would take the space of the corpus once more. The order comes from a range sort of (host, path, page), not from
 one task per host, so a host may hold any share of the pages. Null or empty html gives an empty text; a
 null or odd URL counts as a host of its own name; repeated rows each get their text; a page without a
 differing neighbour keeps its unmarked lines. Only page_id, url and html are read.
@@ -220,36 +221,44 @@ def url_path(url):
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(key, page_id, url, texts, roles, lines, digest): every page parsed once, written under a key.
+    """(key, page_id, url, host, html_md5, roles, lines, digest): the lines of every page, written once.
 
-    ``lines`` holds the hashes of the texts, ``digest`` names their list.
+    ``lines`` holds the hashes of the texts, ``digest`` names their list. Texts are not written: those of a
+    whole corpus would take its size again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            texts, roles, lines, digests = [], [], [], []
-            for page in batch.column(2):
+            roles, lines, digests = [], [], []
+            for page in batch.column(3):
                 found = lines_of(page.as_py())
-                texts.append([t for _, t in found])
                 roles.append([role for role, _ in found])
-                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts[-1]])
-                digests.append(xxhash.xxh3_128_hexdigest("\n".join(texts[-1])))
+                lines.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in found])
+                digests.append(xxhash.xxh3_128_hexdigest("\n".join(t for _, t in found)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(roles, pa.list_(pa.int8())), pa.array(lines, pa.list_(pa.int64())), pa.array(digests)],
-                ["page_id", "url", "texts", "roles", "lines", "digest"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(roles, pa.list_(pa.int8())),
+                 pa.array(lines, pa.list_(pa.int64())), pa.array(digests, pa.string())],
+                ["page_id", "url", "html_md5", "roles", "lines", "digest"],
             )
 
-    parsed = pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(
-        run, "page_id long, url string, texts array<string>, roles array<byte>, lines array<long>, digest string"
+    parsed = with_keys(pages).select("page_id", "url", "html_md5", "html").mapInArrow(
+        run, "page_id long, url string, html_md5 string, roles array<byte>, lines array<long>, digest string"
     )
     return materialize(
         parsed.withColumns({"host": url_host(F.col("url")), "key": F.monotonically_increasing_id()}), "page-lines"
     )
 
 
+def with_keys(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, host, html_md5): rows of one host and the same html have the same text."""
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", "html", url_host(F.col("url")).alias("host"),
+        F.md5(F.coalesce("html", F.lit(""))).alias("html_md5"),
+    )
+
+
 def shared_lines(parsed: DataFrame) -> DataFrame:
     """(host, digest, shared): positions of lines that the nearest differing page on either side has too."""
     first = parsed.where(F.size("lines") > 0).groupBy("host", "digest").agg(
@@ -278,17 +287,38 @@ def shared_lines(parsed: DataFrame) -> DataFrame:
     )
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars, n_shared) of every row of ``pages``."""
-    parsed = page_lines(pages)
+def deleted_lines(parsed: DataFrame) -> DataFrame:
+    """(host, html_md5, gone): positions of the lines that each distinct page loses to its neighbours."""
     # copies of one page may hold any share of the rows
-    joined = salted_lookup(parsed.drop("lines"), shared_lines(parsed), ["host", "digest"], ["key"])
-    role, told = lambda i: F.get("roles", i), F.coalesce("shared", F.array().cast("array<int>"))
-    kept = F.filter(
-        "texts",
-        lambda _, i: (role(i) == ARTICLE) | ((role(i) == OTHER) & ~F.array_contains(told, i)),
+    told = salted_lookup(
+        parsed.select("key", "host", "html_md5", "digest", "roles"), shared_lines(parsed), ["host", "digest"], ["key"]
     )
-    return joined.select(
-        "page_id", "url", F.array_join(kept, "\n\n").alias("text"),
-        F.size(F.filter(told, lambda i: role(i) != ARTICLE)).cast("long").alias("n_shared"),
-    ).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    gone = F.filter("shared", lambda i: F.get("roles", i) == OTHER)
+    return told.where("shared is not null").select("host", "html_md5", gone.alias("gone")).where(
+        F.size("gone") > 0
+    ).dropDuplicates(["host", "html_md5"])
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars, n_shared) of every row of ``pages``; ``n_shared``: lines deleted."""
+    gone = materialize(deleted_lines(page_lines(pages)), "deleted-lines")
+    joined = with_keys(pages).join(gone, ["host", "html_md5"], "left").select("page_id", "url", "html", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for page, lost in zip(batch.column(2), batch.column(3)):
+                lost = set(lost.as_py() or ())
+                kept = [
+                    t for i, (role, t) in enumerate(lines_of(page.as_py()))
+                    if role == ARTICLE or (role == OTHER and i not in lost)
+                ]
+                texts.append("\n\n".join(kept))
+                counts.append(len(lost))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+                 pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
+                ["page_id", "url", "text", "n_chars", "n_shared"],
+            )
+
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_shared long")
