@@ -199,3 +199,47 @@ def test_lines_differing_in_digits_are_one_signature(spark):
     lines = spark.createDataFrame([("e", "s", "error 12 at 0xff", 1), ("e", "s", "error 99 at 0xab", 2), ("e", "s", "fine", 3)], "env_key string, service_name string, message string, t int")
     out = rt.cluster_logs(lines.withColumn("ts", F.timestamp_seconds("t"))).collect()
     assert len(out) == 1 and out[0]["count"] == 2 and out[0]["signature"] == "error <n> at <n>"
+
+
+def test_top_causes_equal_the_ranking_of_all_pairs(spark):
+    """Nulls, blanks, names inside names, events named by commit only, equal instants and copies."""
+    incidents = _typed(
+        spark,
+        [(e, f"INC-{n}-{e}", f"2026-04-12 14:{n % 60:02d}:00", said, services)
+         for n, (said, services) in enumerate(
+             [("see d-1", ["a", "b"]), ("see d-12 and c0ffee", ["b", None, ""]), (None, ["a"]), ("c0ffee", None),
+              ("", ["c"]), ("d-1d-2", ["c", "a", "a"])] * 4, 20)
+         for e in ("x", "y")],
+        "env_key id detected_at summary affected_services", schemas.INCIDENTS,
+    )
+    deployments = _typed(
+        spark,
+        [(("x", "y", None)[n % 7 % 3], ("d-1", "d-2", "d-12", None, "c0ffee", "")[n % 6], ("a", "b", "c", "", None)[n % 5],
+          f"2026-04-12 14:{n % 45:02d}:{30 * (n % 2):02d}", ("c0ffee", "beef", None, "")[n % 4]) for n in range(300)],
+        "env_key deployment_id service_name at commit_sha", schemas.DEPLOYMENTS,
+    )
+    shifts = _typed(
+        spark,
+        [("x", "ab"[n % 2], f"m{n % 3}", f"2026-04-12 14:{n % 40:02d}:30", 1.0, 2.0, "ms") for n in range(160)],
+        "env_key service_name metric started_at before after unit", schemas.METRIC_SHIFTS,
+    )
+    events = rt.all_events(deployments, shifts, spark.createDataFrame([], schemas.LOG_SIGNATURES))
+    columns = ["incident_id", "rank", "kind", "event_key", "at", "confidence", "strategy", "delta_seconds"]
+    found = lambda df: sorted(map(tuple, df.select(columns).collect()), key=repr)
+    plain = lambda ranked: [(r[:6] + r[7:]) for r in ranked]
+    for limit, floor in ((1, 0.05), (4, 0.05), (9, 0.6)):
+        all_pairs = ca.rank_causes(ca.score_causes(incidents, events, min_confidence=floor), limit)
+        best = ca.top_causes(incidents, events, limit, min_confidence=floor)
+        # rows alike in all order columns may differ in service and strategy only
+        assert plain(found(best)) == plain(found(all_pairs)) != []
+
+
+def test_ranking_queries_score_no_other_pairs(spark, tables, monkeypatch):
+    from tracebeam.plans import causality as plans
+
+    def refused(*args, **kwargs):
+        raise AssertionError("all pairs asked for")
+
+    monkeypatch.setattr(ca, "causal_candidates", refused)
+    for query in (plans.rank_causes, plans.causes_for_incident, plans.replay_confidence, plans.mark_timeline):
+        assert query(tables).limit(1).count() == 1

@@ -291,7 +291,7 @@ def snapshot_round_trip(t: Tables) -> DataFrame:
     """Top causes written as JSON, one folder per environment, and read back."""
     from tracebeam.operators import causality as ca
 
-    top = ca.rank_causes(ca.score_causes(t.incidents, t.causes), 5)
+    top = ca.top_causes(t.incidents, t.causes, 5)
     path = scratch_path(t.spark, "snapshots")
     reports.write_snapshots(top.select("env_key", "incident_id", "kind", "confidence"), path, by="env_key")
     stored = t.spark.read.schema("incident_id string, kind string, confidence double, env_key string").json(path)
