@@ -243,3 +243,27 @@ def test_ranking_queries_score_no_other_pairs(spark, tables, monkeypatch):
     monkeypatch.setattr(ca, "causal_candidates", refused)
     for query in (plans.rank_causes, plans.causes_for_incident, plans.replay_confidence, plans.mark_timeline):
         assert query(tables).limit(1).count() == 1
+
+
+def test_first_events_and_counts_equal_the_built_timeline(spark, tables, cascade):
+    key = lambda df, names: sorted(map(tuple, df.select(*names).collect()), key=repr)
+    for runtime, causes in ((tables.runtime, tables.causes), (cascade, causes_of(cascade))):
+        columns = ["incident_id", "service_name", "first_event_at", "first_event_kind", "first_event_description", "position"]
+        whole = rp.service_cascade(rp.build_timeline(runtime))
+        assert key(rp.service_cascade(rp.first_of_timeline(runtime)), columns) == key(whole, columns) != []
+        links = ca.link_incidents(runtime["incidents"], causes)
+        overview = rp.replay_overview(rp.replay(runtime, links))
+        counted = rp.replay_counts(runtime, links)
+        assert sorted(counted.columns) == sorted(overview.columns)
+        assert key(counted, overview.columns) == key(overview, overview.columns)
+
+
+def test_cascade_and_replay_build_no_timeline(spark, tables, monkeypatch):
+    from tracebeam.plans import causality as plans
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a timeline was built")
+
+    monkeypatch.setattr(rp, "interval_join", refused)
+    for query in (plans.service_cascade, plans.replay):
+        assert query(tables).limit(1).count() == 1
