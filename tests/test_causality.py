@@ -267,3 +267,13 @@ def test_cascade_and_replay_build_no_timeline(spark, tables, monkeypatch):
     monkeypatch.setattr(rp, "interval_join", refused)
     for query in (plans.service_cascade, plans.replay):
         assert query(tables).limit(1).count() == 1
+
+
+def test_fix_context_reads_only_the_texts_of_chosen_files(spark):
+    causes = spark.createDataFrame([("I1", 1, "Deployment", 0.9, "a")], "incident_id string, rank int, kind string, confidence double, service_name string")
+    services = spark.createDataFrame([("e", "a", ["pkg1/m.py"])], "env_key string, name string, file_paths array<string>")
+    files = spark.range(50).select(
+        F.format_string("pkg%d/m.py", "id").alias("path"),
+        F.when(F.col("id") == 1, F.lit("text")).otherwise(F.raise_error(F.lit("a text nobody asked for"))).alias("source"),
+    )
+    assert [r["body"] for r in lg.fix_context(causes, services, 5, files, 300).collect()] == ["text"]
