@@ -307,11 +307,11 @@ def remember_into_store(t: Tables) -> DataFrame:
     """All memories asked again, twice, into a store that holds them; then compacted and read back."""
     store = scratch_path(t.spark, "memory-store")
     n = F.substring("id", 5, 12).cast("bigint")
-    held = t.memories.select("id", "repo_key", "question", F.when(n % 17 > 0, F.col("vector")).alias("vector"), "recall_hits")
+    held = t.memories.select("id", "repo_key", "question", F.when(n % 17 > 0, F.col("vector").cast("array<double>")).alias("vector"), "recall_hits")
     memory_store.create_store(held, store)
     again = asked_again(t).select(F.col("query_id").alias("id"), F.col("vector").alias("asked"))
     asked = t.memories.join(again, "id").select(
-        n.alias("seq"), "repo_key", "question", F.when(n % 19 > 0, F.col("asked").cast("array<float>")).alias("vector"),
+        n.alias("seq"), "repo_key", "question", F.when(n % 19 > 0, F.col("asked")).alias("vector"),
         F.when(n % 3 > 0, text("=src", n % 3)).alias("source"), "origin_agent", "user_id",
     )
     for batch, shift in ((0, 0), (1, 1_000_000)):
