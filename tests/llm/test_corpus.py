@@ -98,6 +98,26 @@ def test_near_duplicates_equal_brute_force(spark, make_docs, block):
     assert 1 < len({c for _, c in want.values()}) < len(docs)
 
 
+def test_crowd_of_unlinked_texts_writes_no_pairs(make_docs, monkeypatch):
+    """Texts just below the threshold of each other: rows of pairs grow with the texts, not their square."""
+    rng = random.Random(5)
+    base = [f"t{k}" for k in range(400)]
+    docs = []
+    for k in range(120):
+        words = list(base)
+        for at in rng.sample(range(0, 400, 5), 7):
+            words[at] = f"v{k}x{at}"
+        docs.append((k, " ".join(words)))
+    pairs = []
+    whole = near_dup.confirmed
+    monkeypatch.setattr(near_dup, "confirmed", lambda p, *rest: (pairs.append(p.count()), whole(p, *rest))[1])
+    got = near_dup.near_duplicates(make_docs(docs), 4)
+    want = brute_near_dup(docs, 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    assert len({c for _, c in want.values()}) > 20
+    assert sum(pairs) <= 2 * len(docs)
+
+
 def test_near_duplicates_five_words_on_the_tables(spark):
     got = near_dup.near_duplicates(docs_of(spark)).collect()
     want = brute_near_dup([(r[0], r[1]) for r in DOCS], 5)

@@ -7,20 +7,14 @@ members are candidates. Where a region is dense, members also look for partners
 longest common prefixes are measured, as in a forest with free depth (the README says why).
 
 Round 1 confirms each text against the few region leaders it meets most often, and links what it
-confirms into components. Round 2 looks at regions that still hold more than one component: every
-pair across components whose signatures agree enough is confirmed as well. Pairs inside a component
-cannot change the result and are never made. A pair of similarity 0.8 shares no region with
-probability (1 - 0.8^4)^24 = 3e-6; nothing else is left out.
+confirms into components. Round 2 (``crowds``) takes the texts of regions that still hold more than one
+component: what their sets could share with another component decides who stays, and the rest meet in
+blocks that count all overlaps of full sets and name only the components that a link joins. Pairs inside
+a component cannot change the result and are never made, and no pair is written in round 2, however
+many texts of a crowd are alike. A pair of similarity 0.8 shares no region with probability
+(1 - 0.8^4)^24 = 3e-6; nothing else is left out.
 
-Two exact tests keep pairs few in a crowd of near copies: a pair is made only in the first tree that
-joins it, and only if it could be similar at all. A shingle that a single text holds can be in no
-intersection, so the other shingles of either text bound the intersection from above; texts at the
-rim of a crowd, with too many shingles of their own, drop out without a comparison. Texts of open
-regions also get a longer signature of ``FINE`` values, which tells 0.74 from 0.8 at the same odds
-of a miss as the short one, so pairs that are merely alike are not read in full.
-
-Regions are split into blocks of ``BLOCK`` members, so no task holds a region and no pair is emitted
-before the signature test. Texts are shuffled only if they are candidates.
+No task holds a region. Texts are shuffled only if they are candidates.
 
 Null and wordless texts have empty sets, link with nothing and stay. Rows that share a doc_id are one
 document: if one is linked all are. Rows without a doc_id are returned with a null component and
@@ -37,6 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracebeam.llm.common import components, salted_lookup
+from tracebeam.llm.crowds import block_links, open_items
+from tracebeam.llm.shingles import (  # noqa: F401  (shingle_set is used by callers)
+    ODD,
+    confirmed,
+    mixed,
+    set_sum,
+    shingle_hashes,
+    shingle_set,
+    word_list,
+)
 from tracebeam.session import materialize
 
 SHINGLE = 5
@@ -46,45 +50,10 @@ VALUE_BYTES = 2
 DENSE = 32
 BLOCK = 256
 LEADERS = 2
-# four and a half standard deviations below 0.8 over 192 values: missed with probability 3e-6
-AGREE = 0.67
-# the same distance over 1024 values, one byte each, taken of texts in open regions only
-FINE, FINE_AGREE = 1024, 0.743
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ODD = _RANDOM.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FINE_A = _RANDOM.integers(0, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FINE_B = _RANDOM.integers(0, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-
-
-def word_list(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-
-
-def shingle_set(words: list[bytes], size: int) -> set:
-    """Distinct runs of ``size`` words; a shorter text is one run; no words, no runs."""
-    if len(words) <= size:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[k:] for k in range(size))))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def shingle_hashes(words: list[bytes], size: int, hash_of) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    h = np.fromiter(map(hash_of, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(min(size, len(h))):
-        total += mixed(h[k : k + n] * _ODD[k] + _ODD[k + 1])
-    return np.unique(mixed(total))
 
 
 def least_values(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,17 +71,6 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least_values(hashes, _A, _B).astype(">u2")
 
 
-def fine_signature(hashes: np.ndarray) -> np.ndarray:
-    """``FINE`` further MinHash values, one byte each."""
-    folded = least_values(hashes, _FINE_A, _FINE_B)
-    return (folded ^ (folded >> np.uint32(8))).astype(np.uint8)
-
-
-def set_sum(hashes: np.ndarray) -> int:
-    """Order-free sum that names a shingle set (half of its name)."""
-    return int(hashes.sum(dtype=np.uint64).view(np.int64))
-
-
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, sig): set size, two order-free sums that name the set, signature."""
 
@@ -130,7 +88,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 hashes = shingle_hashes(words, shingle, hash_of)
                 n.append(len(hashes))
                 hi.append(set_sum(hashes))
-                lo.append(int(mixed(hashes + _ODD[9]).sum(dtype=np.uint64).view(np.int64)))
+                lo.append(int(mixed(hashes + ODD[9]).sum(dtype=np.uint64).view(np.int64)))
                 sig.append(signature(hashes).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()),
@@ -182,174 +140,6 @@ def leader_pairs(members: DataFrame, leaders: int, dense: int) -> DataFrame:
     return best.select(F.explode("best.leader").alias("a"), F.col("id").alias("b"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough."""
-    mine = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    theirs = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, set())
-        for batch in batches:
-            keep = []
-            a_ids = batch.column(0).to_pylist()
-            for a, text_a, text_b in zip(a_ids, batch.column(2), batch.column(3)):
-                text_a = text_a.as_py()
-                if last[0] != text_a:
-                    last = (text_a, shingle_set(word_list(text_a), shingle))
-                other = shingle_set(word_list(text_b.as_py()), shingle)
-                both = len(last[1] & other)
-                keep.append(100 * both >= percent * (len(last[1]) + len(other) - both) and both > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return (
-        pairs.join(theirs, "b").join(mine, "a").select("a", "b", "text_a", "text_b")
-        .mapInArrow(run, "a long, b long")
-    )
-
-
-def own_counts(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, hi, own): how many shingles of each text no other text of ``texts`` holds (none: no row).
-
-    A text is named by its doc_id and set sum, so texts that share a doc_id count as different.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo in range(0, len(ids), 64):
-                sets = [
-                    shingle_hashes(word_list(t.as_py()), shingle, xxhash.xxh3_64_intdigest)
-                    for t in batch.column(1)[lo : lo + 64]
-                ]
-                lengths = [len(x) for x in sets]
-                owners = np.repeat(np.array(ids[lo : lo + 64], np.int64), lengths)
-                names = np.repeat(np.array([set_sum(x) for x in sets], np.int64), lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sets).view(np.int64)), pa.array(owners), pa.array(names)],
-                    ["h", "id", "hi"],
-                )
-
-    owner = F.struct("id", "hi")
-    owners = (
-        texts.select("doc_id", "text").mapInArrow(run, "h long, id long, hi long")
-        .groupBy("h").agg(F.min(owner).alias("one"), F.max(owner).alias("other"))
-    )
-    return owners.where("one = other").groupBy("one.id", "one.hi").agg(F.count(F.lit(1)).alias("own"))
-
-
-def fine_signatures(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, hi, fine): the long signature of each distinct text of each doc_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            names, fine = [], []
-            for value in batch.column(1):
-                hashes = shingle_hashes(word_list(value.as_py()), shingle, xxhash.xxh3_64_intdigest)
-                names.append(set_sum(hashes))
-                fine.append(fine_signature(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.int64()), pa.array(fine, pa.binary())],
-                ["id", "hi", "fine"],
-            )
-
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, hi long, fine binary").dropDuplicates(
-        ["id", "hi"]
-    )
-
-
-def cross_pairs(
-    members: DataFrame, labels: DataFrame, heads: DataFrame, texts: DataFrame,
-    shingle: int, percent: int, block: int,
-) -> DataFrame:
-    """(a, b): pairs of one region and different components that may be similar enough."""
-    labelled = members.select("tree", "near", "id").join(
-        labels.withColumnRenamed("node", "id"), "id", "left"
-    ).select("tree", "near", "id", F.coalesce("component", "id").alias("component"))
-    open_regions = labelled.groupBy("tree", "near").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")
-    ).where("lo < hi").select("tree", "near", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    cut = materialize(
-        labelled.join(materialize(open_regions, "open-sizes"), ["tree", "near"]).withColumn(
-            "mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        ),
-        "open-regions",
-    )
-    ids = materialize(cut.select(F.col("id").alias("_id")).distinct(), "open-texts")
-    open_texts = materialize(texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"), "open-documents")
-    own = own_counts(open_texts, shingle)
-    fine = fine_signatures(open_texts, shingle)
-    facts = materialize(
-        heads.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-        .select(F.col("doc_id").alias("id"), "hi", F.col("n_shingles").alias("size"), "sig")
-        .join(own, ["id", "hi"], "left").join(fine, ["id", "hi"])
-        .select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "sig", "fine"),
-        "open-facts",
-    )
-    # block pair (x, y) with x <= y holds the members of both; a block alone meets itself
-    placed = cut.select(
-        "tree", "near", "id", "component", "mine",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "tree", "near", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"),
-        "id", "component",
-    )
-    keys = ["tree", "near", "x", "y"]
-    grouped = placed.join(facts, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
-
-    def pairs_of(
-        tree: int, ids: list, marks: list, sizes: list, common: list, sigs: list, fine: list
-    ):
-        table = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), TREES, DEPTH)
-        long = np.frombuffer(b"".join(fine), np.uint8).reshape(len(ids), FINE)
-        marks, sizes, common = np.array(marks), np.array(sizes), np.array(common)
-        for k in range(len(ids) - 1):
-            rest = slice(k + 1, None)
-            both = np.minimum(common[rest], common[k])
-            able = 100 * both >= percent * (sizes[rest] + sizes[k] - both)
-            js = k + 1 + np.flatnonzero(able & (marks[rest] != marks[k]))
-            if not len(js):
-                continue
-            same = table[js] == table[k]
-            earlier = same[:, :tree, :LEAST_DEPTH].all(axis=2).any(axis=1)
-            js = js[(same.mean(axis=(1, 2)) >= AGREE) & ~earlier]
-            for j in js[(long[js] == long[k]).mean(axis=1) >= FINE_AGREE]:
-                yield min(ids[k], ids[j]), max(ids[k], ids[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple = (0,)
-        held: tuple[list, ...] = ([],)
-        found: set[tuple[int, int]] = set()
-
-        def out() -> pa.RecordBatch:
-            rows = sorted(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"]
-            )
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != group:
-                    if len(held[0]) > 1:
-                        found.update(pairs_of(group[0], *held))
-                    group, held = row[:4], ([], [], [], [], [], [])
-                for at, value in enumerate(row[4:]):
-                    held[at].append(value)
-            if len(found) > 100_000:
-                yield out()
-        if len(held[0]) > 1:
-            found.update(pairs_of(group[0], *held))
-        yield out()
-
-    return grouped.select(*keys, "id", "component", "size", "common", "sig", "fine").mapInArrow(
-        run, "a long, b long"
-    ).distinct()
-
-
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     leaders: int = LEADERS, dense: int = DENSE, block: int = BLOCK,
@@ -377,10 +167,8 @@ def near_duplicates(
     tried = materialize(leader_pairs(members, leaders, dense), "leader-pairs")
     linked = materialize(confirmed(tried, texts, shingle, percent), "linked")
     labels = components(linked)
-    rest = cross_pairs(members, labels, heads, texts, shingle, percent, block).join(
-        tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
-    )
-    more = materialize(confirmed(rest, texts, shingle, percent), "linked")
+    signed = members.select(F.xxhash64("tree", "near").alias("sig"), "id", F.lit(0).alias("rim"))
+    more = block_links(open_items(signed, labels, texts, shingle, percent), percent, block)
     labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
     named = salted_lookup(
