@@ -277,3 +277,19 @@ def test_fix_context_reads_only_the_texts_of_chosen_files(spark):
         F.when(F.col("id") == 1, F.lit("text")).otherwise(F.raise_error(F.lit("a text nobody asked for"))).alias("source"),
     )
     assert [r["body"] for r in lg.fix_context(causes, services, 5, files, 300).collect()] == ["text"]
+
+
+def test_proximity_queries_fetch_only_what_the_floor_keeps(tables, monkeypatch):
+    from tracebeam.plans import causality as plans
+
+    asked, whole = [], ca.causal_candidates
+    want = ca.score_proximity(whole(tables.incidents, tables.causes)).count()
+
+    def spied(incidents, events, lookback=ca.LOOKBACK, *rest):
+        asked.append(ca.seconds_of(lookback))
+        return whole(incidents, events, lookback, *rest)
+
+    monkeypatch.setattr(ca, "causal_candidates", spied)
+    assert plans.score_proximity(tables).count() == want
+    assert plans.affected_bonus(tables).count() == want
+    assert len(asked) == 2 and max(asked) < 1300
