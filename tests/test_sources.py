@@ -262,3 +262,26 @@ def test_report_parts_hold_every_finding(spark):
     assert all(d["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "." for d in documents)
     digests = reports.findings_to_markdown(findings, report, per_part=10).collect()
     assert sum(r["markdown"].count("- **`") for r in digests) == 23
+
+
+def test_sources_are_parsed_few_at_a_time(spark):
+    import pyarrow as pa
+
+    names = ["repo_key", "path", "language", "module_name", "source"]
+    frame = spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+
+    class Files:
+        schema = frame.schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    source = "import a as b, c\nfrom d import e as f\nx = 1\n\n\ndef go():\n    e()\n"
+    rows = [("r", f"{k}.py", "python", f"m{k}", source if k else None) for k in range(450)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
+    parts = list(source_tree.parse_sources(Files())(iter([batch])))
+    assert [p.num_rows for p in parts] == [200, 200, 50]
+    found = pa.Table.from_batches(parts).to_pylist()
+    assert [f["path"] for f in found] == [r[1] for r in rows]
+    assert found[0]["symbols"] == [] and [s["name"] for s in found[449]["symbols"]] == ["x", "go"]
+    assert [i["alias_of"] for i in found[1]["imports"]] == [[("b", "a")], [], [("f", "e")]]

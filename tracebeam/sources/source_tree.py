@@ -5,9 +5,11 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tracebeam import schemas
 from tracebeam.functions.texts import glob_regex
@@ -33,6 +35,7 @@ SKIPPED_FOLDERS = (
     ".mypy_cache", ".ruff_cache", ".pytest_cache", ".tox", ".nox", "dist", "build", ".next",
     ".nuxt", ".turbo", ".cache", "target", "out", "site-packages", ".idea", ".vscode",
 )
+FILES_AT_ONCE = 200
 SKIPPED_FILES = ("*.min.js", "*.min.css", "*.map", "*.pyc", "*.pyo", "*.so", "*.dylib", "*.dll")
 
 
@@ -150,7 +153,7 @@ def _structure(source: str, module: str) -> dict:
     for node in tree.body:
         if isinstance(node, ast.Import):
             for item in node.names:
-                alias = {item.asname: item.name} if item.asname else {}
+                alias = [(item.asname, item.name)] if item.asname else []
                 out["imports"].append(
                     {"module": item.name, "names": [], "alias_of": alias, "line": node.lineno,
                      "is_relative": False}
@@ -159,7 +162,7 @@ def _structure(source: str, module: str) -> dict:
             out["imports"].append(
                 {"module": "." * node.level + (node.module or ""),
                  "names": [item.name for item in node.names],
-                 "alias_of": {i.asname: i.name for i in node.names if i.asname},
+                 "alias_of": list({i.asname: i.name for i in node.names if i.asname}.items()),
                  "line": node.lineno, "is_relative": node.level > 0}
             )
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -193,15 +196,21 @@ def parse_sources(files: DataFrame) -> DataFrame:
     """Add the structure of each Python file as nested columns (the source text stays)."""
     columns = list(schemas_of_structure())
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_structure(s or "", m) for s, m in zip(batch["source"], batch["module_name"])]
-            for column in columns:
-                batch[column] = [f[column] for f in found]
-            yield batch
-
+    shape = StructType.fromDDL(schemas.CODE_STRUCTURE)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return files.mapInPandas(convert, schema=f"{kept}, {schemas.CODE_STRUCTURE}")
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {f.name: f.type for f in to_arrow_schema(shape)}
+        for batch in batches:
+            # few files at a time: their parsed structure is many times their text
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                part = batch.slice(at, FILES_AT_ONCE)
+                source, module = (part.column(part.schema.get_field_index(c)) for c in ("source", "module_name"))
+                found = [_structure(s or "", m) for s, m in zip(source.to_pylist(), module.to_pylist())]
+                made = [pa.array([f[c] for f in found], types[c]) for c in columns]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *columns])
+
+    return files.mapInArrow(convert, f"{kept}, {schemas.CODE_STRUCTURE}")
 
 
 def schemas_of_structure() -> tuple[str, ...]:
