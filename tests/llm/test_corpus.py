@@ -245,6 +245,54 @@ def test_model_scores_equal_brute_force(make_docs):
         assert r["score"] == pytest.approx(brute_ppm(training, dict(docs)[r["doc_id"]]), rel=1e-5)
 
 
+@pytest.mark.parametrize("head_grams", [lm_score.HEAD_GRAMS, 30, 0])
+def test_model_of_five_bytes_equals_brute_force_also_with_nul_bytes(make_docs, head_grams):
+    order, rng = 5, random.Random(3)
+    docs = [(k, " ".join(rng.choice(["alpha", "alphabet", "gämma", "x\0y", "\0"]) for _ in range(rng.randrange(12)))) for k in range(40)]
+    docs += [(99, None), (100, ""), (101, "zzz alphabex unseen"), (102, "\0\0"), (5, docs[5][1]), (None, "alpha \0")]
+    low = lambda t: [lm_score.START] * order + list(lm_score.lowered(t)) + [lm_score.END]
+    follow = defaultdict(Counter)
+    for t in [t for d, t in docs if d is None or not is_held(d)]:
+        raw = low(t)
+        for k in range(order, len(raw)):
+            for n in range(order + 1):
+                follow[tuple(raw[k - n : k])][raw[k]] += 1
+
+    def brute(t):
+        raw, total = low(t), 0.0
+        for k in range(order, len(raw)):
+            p, gone = 1.0, set()
+            for n in range(order, -2, -1):
+                seen = follow[tuple(raw[k - n : k])] if n >= 0 else Counter(range(256))
+                seen = {s: c for s, c in seen.items() if s not in gone}
+                size = sum(seen.values()) + (len(seen) if n >= 0 else 0)
+                if raw[k] in seen:
+                    p *= seen[raw[k]] / size
+                    break
+                p *= len(seen) / size if seen else 1.0
+                gone |= set(seen)
+            total += math.log10(p)
+        return total
+
+    rows = lm_score.score(make_docs(docs), order=order, head_grams=head_grams).collect()
+    want = sorted((d or -1, brute(t)) for d, t in docs)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"] or -1, r["score"]) for r in rows)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
+def test_long_texts_keep_their_context_between_pieces(monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 7)
+    texts = [b"abc", b"", b"a text of more than seven bytes", b"x" * 7]
+    found = defaultdict(list)
+    for owner, grams in lm_score.pieces(texts, 3):
+        for o, g in zip(owner.tolist(), grams.tolist()):
+            found[o].append(g.to_bytes(4, "big"))
+    for k, t in enumerate(texts):
+        whole = bytes([lm_score.START]) * 3 + t + bytes([lm_score.END])
+        assert found[k] == [whole[i : i + 4] for i in range(len(t) + 1)]
+
+
 def test_model_probabilities_add_up():
     cells = np.array([0x616263, 0x616264, 0x626364, 0x000061], np.int32)
     model = lm_score.ByteModel(cells, np.array([3, 1, 5, 2]))

@@ -1,12 +1,16 @@
 """Language-model scores: prediction by partial matching over bytes, beside a unigram base score.
 
-The model is a trie of byte contexts up to two bytes long. Spark counts (context, next byte) over all
-training texts; at most 256^3 cells exist, so the trie's size is bounded whatever the corpus. Escape
-probabilities follow method C: a context seen T times with q different followers gives c / (T + q) to
-a follower and q / (T + q) to the escape. After an escape the shorter context is asked without the
-symbols the longer one has already offered (exclusion), down to all bytes alike. As training counts
-do not change while scoring, every (context, byte) log-probability is worked out once and documents
-only look them up.
+The model is a trie of byte contexts up to ``order`` bytes long. Spark counts (context, next byte) over all
+texts and sums the shorter contexts from the longest. Escape probabilities follow method C: a context
+seen T times with q different followers gives c / (T + q) to a follower and q / (T + q) to the escape.
+After an escape the shorter context is asked without the symbols the longer one has already offered
+(exclusion), down to all bytes alike. Whatever follows a context also follows its shorter one, so what is
+excluded is always the followers of the context just left: a sum and a number for each context say it all.
+As training counts do not change while scoring, the log-probability of every (context, byte) that any
+text holds is worked out once, by joins from the longest context down, and documents look them up. The
+trie is a table and may grow with the corpus; the most frequent entries (a bounded list) are sent to the
+tasks, all others meet their documents in a join. Starts and ends of texts are the bytes 254 and 255,
+which no UTF-8 text holds.
 
 Word counts are an ordinary aggregation. To score, the most frequent words (a bounded list) are sent
 to the tasks; all other words meet their counts in a join, so no vocabulary has to fit in memory and
@@ -30,6 +34,9 @@ from pyspark.sql import functions as F
 from tracebeam.session import materialize
 
 HEAD_WORDS = 400_000
+HEAD_GRAMS = 1_000_000
+ORDER = 5
+START, END = 254, 255
 FOLDS, HELD_FOLD = 7, 2
 CHUNK_BYTES = 1 << 20
 
@@ -49,46 +56,113 @@ def held_out(doc_id):
 # -- byte model -----------------------------------------------------------------------------------
 
 
-def trigrams(raw: bytes) -> np.ndarray:
-    """Codes of (two bytes before, byte) for every byte and the end, which is byte 0."""
-    padded = np.frombuffer(b"\0\0" + raw + b"\0", np.uint8).astype(np.int32)
-    return padded[:-2] << 16 | padded[1:-1] << 8 | padded[2:]
+def pieces(raws: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owner, gram) of every byte and end, about a megabyte at a time: its text, and context and byte as one number."""
+    edge, owners, parts, size = bytes([START]) * order, [], [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        symbols = np.frombuffer(b"".join(parts), np.uint8)
+        n = len(symbols) - order
+        codes = np.zeros(n, np.int64)
+        for k in range(order + 1):
+            codes = codes << 8 | symbols[k : k + n]
+        # each part begins with ``order`` bytes of context, so no context reaches into the part before
+        begins = np.cumsum([0, *map(len, parts[:-1])])
+        inside = np.ones(len(symbols), bool)
+        inside[(begins[:, None] + np.arange(order)).ravel()] = False
+        return np.repeat(owners, [len(p) - order for p in parts]), codes[inside[order:]]
+
+    for k, raw in enumerate(raws):
+        whole = edge + raw + bytes([END])
+        for lo in range(0, len(raw) + 1, CHUNK_BYTES):
+            parts.append(whole[lo : lo + CHUNK_BYTES + order])
+            owners.append(k)
+            size += len(parts[-1])
+            if size >= CHUNK_BYTES:
+                yield out()
+                owners, parts, size = [], [], 0
+    if parts:
+        yield out()
 
 
-def cell_counts(training: DataFrame) -> DataFrame:
-    """(cell, n): how often each byte followed each two-byte context; partial counts per task."""
+def gram_counts(rows: DataFrame, order: int) -> DataFrame:
+    """(gram, n, trained): how often each byte follows each context in all texts and in those to learn from."""
+    if not 0 <= order <= 6:
+        raise ValueError(f"order must be 0 to 6: {order}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        cells, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+        cells, counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(held), return_counts=True)
-            keys, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(cells >> 1), pa.array(cells & 1 == 1), pa.array(counts)], ["gram", "held", "n"]
+            )
 
         for batch in batches:
-            for value in batch.column(0):
-                codes = trigrams(lowered(value.as_py()))
-                held.append(codes)
-                size += len(codes)
-                if size >= CHUNK_BYTES:
-                    cells, counts = fold()
-                    held, size = [], 0
-        if held:
-            cells, counts = fold()
-        if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts)], ["cell", "n"])
+            held = np.array(batch.column(0).to_pylist(), np.int64)
+            for owner, codes in pieces([lowered(t.as_py()) for t in batch.column(1)], order):
+                new, n = np.unique(codes << 1 | held[owner], return_counts=True)
+                keys, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
+                sums = np.zeros(len(keys), np.int64)
+                np.add.at(sums, at, np.concatenate([counts, n]))
+                cells, counts = keys, sums
+                if len(cells) > HEAD_GRAMS:
+                    yield out()
+                    cells, counts = cells[:0], counts[:0]
+        yield out()
 
-    return (
-        training.select("text").mapInArrow(run, "cell int, n long")
-        .groupBy("cell").agg(F.sum("n").alias("n"))
+    found = rows.select(held_out(F.col("doc_id")).alias("held"), "text").mapInArrow(
+        run, "gram long, held boolean, n long"
+    )
+    return found.groupBy("gram").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("trained")
     )
 
 
+def gram_logs(counted: DataFrame, order: int) -> DataFrame:
+    """(gram, n, log): log10 probability of the byte after its context, for every gram of ``counted``."""
+    shorter = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+    cells = counted.where("trained > 0").select("gram", F.col("trained").alias("c"))
+    # what the context just left has offered: its followers' count here, and their number
+    rows = counted.select(
+        "gram", "n", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("gone_kinds")
+    )
+    done = []
+    for k in range(order, -1, -1):
+        below = materialize(cells.groupBy(shorter(k - 1).alias("gram")).agg(F.sum("c").alias("c")), "grams") if k else None
+        followers = cells.withColumn("context", F.shiftright("gram", 8))
+        if k:
+            followers = followers.withColumn("gram", shorter(k - 1)).join(below.withColumnRenamed("c", "shorter"), "gram")
+        contexts = followers.groupBy("context").agg(
+            F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"),
+            (F.sum("shorter") if k else F.lit(0).cast("long")).alias("offered"),
+        )
+        met = materialize(
+            rows.withColumn("here", shorter(k)).withColumn("context", F.shiftright("here", 8))
+            .join(cells.withColumnRenamed("gram", "here"), "here", "left").join(contexts, "context", "left"),
+            "gram-logs",
+        )
+        total, kinds = F.col("total") - F.col("gone"), F.col("kinds") - F.col("gone_kinds")
+        # after all 256 symbols there is nothing to escape to
+        followed = F.log10(F.col("c") / (total + F.when(F.col("kinds") < 256, kinds).otherwise(0)))
+        escape = F.when(kinds > 0, F.log10(kinds / (total + kinds))).otherwise(0.0)
+        done.append(met.where("c is not null").select("gram", "n", (F.col("log") + followed).alias("log")))
+        rows = met.where("c is null").select(
+            "gram", "n", (F.col("log") + escape).alias("log"), F.coalesce("offered", F.lit(0)).alias("gone"),
+            F.coalesce("kinds", F.lit(0)).alias("gone_kinds"),
+        )
+        cells = below
+    out = rows.select("gram", "n", (F.col("log") - F.log10(256 - F.col("gone_kinds"))).alias("log"))
+    for part in done:
+        out = out.union(part)
+    return materialize(out, "gram-table")
+
+
 class ByteModel:
-    """Log10 probabilities of a byte after its two predecessors, by PPM with exclusion."""
+    """Log10 probabilities of a byte after its two predecessors, by PPM with exclusion, as one array.
+
+    For callers that hold the cells of order two (24 bits) themselves; ``score`` uses ``gram_logs``.
+    """
 
     def __init__(self, cells: np.ndarray, counts: np.ndarray):
         order = np.argsort(cells, kind="stable")
@@ -186,8 +260,13 @@ def head_count(counts: DataFrame, head_words: int) -> int:
     return least
 
 
-def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(
+    docs: DataFrame, head_words: int = HEAD_WORDS, order: int = 2, head_grams: int = HEAD_GRAMS
+) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``order`` is the longest context in bytes, at most 6.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     training = rows.where(~held_out(F.col("doc_id")))
@@ -200,11 +279,14 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     per_token = float(np.log10(tokens + kinds + 1))
 
     head = counts.where(F.col("c") >= head_count(counts, head_words)).toArrow()
-    grams = cell_counts(training).toArrow()
+    grams = gram_logs(materialize(gram_counts(rows, order), "gram-counts"), order)
+    least = head_count(grams.select(F.col("n").alias("c")), head_grams)
+    frequent = grams.where(F.col("n") >= least).select("gram", "log").toArrow()
+    at = np.argsort(frequent.column(0).to_numpy())
     sent = spark.sparkContext.broadcast(
         (
             dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist())),
-            ByteModel(grams.column(0).to_numpy(), grams.column(1).to_numpy()),
+            frequent.column(0).to_numpy()[at], frequent.column(1).to_numpy()[at],
         )
     )
     end_log, end_known = float(np.log10(ends + 1)), int(ends > 0)
@@ -212,9 +294,28 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known, model = sent.value
+        known, known_grams, gram_log = sent.value
         logs = {word: float(np.log10(c + 1)) for word, c in known.items()}
         for batch in batches:
+            raws = [lowered(value.as_py()) for value in batch.column(1)]
+            totals = np.zeros(len(raws))
+            rare_owner, rare_gram, rare_times = [], [], []
+            for owner, codes in pieces(raws, order):
+                distinct, where = np.unique(codes, return_inverse=True)
+                near = np.searchsorted(known_grams, distinct)
+                hit = np.zeros(len(distinct), bool)
+                if len(known_grams):
+                    near = np.minimum(near, len(known_grams) - 1)
+                    hit = known_grams[near] == distinct
+                logs_here = np.zeros(len(distinct))
+                logs_here[hit] = gram_log[near[hit]]
+                totals += np.bincount(owner, logs_here[where], minlength=len(raws))
+                if not hit.all():
+                    missed = ~hit[where]
+                    pairs, n = np.unique(owner[missed] * len(distinct) + where[missed], return_counts=True)
+                    rare_owner.append(pairs // len(distinct))
+                    rare_gram.append(distinct[pairs % len(distinct)])
+                    rare_times.append(n)
             ids: list = []
             marks: list[int] = []
             keys: list[bytes] = []
@@ -223,10 +324,12 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
             n_known: list = []
             partial: list = []
             scores: list = []
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = lowered(value.as_py())
+            own_marks: list[int] = []
+            doc_ids = batch.column(0).to_pylist()
+            for doc_id, raw, total in zip(doc_ids, raws, totals.tolist()):
                 words = raw.split()
                 mark = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                own_marks.append(mark)
                 base, seen = end_log, end_known
                 rest: dict[bytes, int] = {}
                 for word in words:
@@ -245,7 +348,16 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
                 n_tokens += [len(words) + 1, *blank]
                 n_known += [seen, *blank]
                 partial += [base, *blank]
-                scores += [model.score(raw), *blank]
+                scores += [total, *blank]
+            if rare_owner:
+                of = np.concatenate(rare_owner).tolist()
+                blank = [None] * len(of)
+                ids += [doc_ids[k] for k in of]
+                marks += [own_marks[k] for k in of]
+                keys += [b" g%d" % g for g in np.concatenate(rare_gram).tolist()]
+                times += np.concatenate(rare_times).tolist()
+                for column in (n_tokens, n_known, partial, scores):
+                    column += blank
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.binary()),
@@ -261,12 +373,19 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
         "doc_id long, mark long, word binary, times long, n_tokens long, n_known long, base double, "
         "score double",
     )
-    # rows of the texts themselves carry a key that no word has; rare words meet their counts
-    joined = scored.join(counts, "word", "left")
-    rare = F.col("base").isNull()
+    # rows of the texts themselves and of grams carry keys that no word has, as they begin with a space;
+    # rare words meet their counts, rare grams their logarithms
+    of_grams = grams.where(F.col("n") < least).select(
+        F.concat(F.lit(" g"), F.col("gram").cast("string")).cast("binary").alias("word"),
+        F.lit(None).cast("long").alias("c"), "log",
+    )
+    entries = counts.select("word", "c", F.lit(None).cast("double").alias("log")).union(of_grams)
+    joined = scored.join(entries, "word", "left")
+    rare = F.col("base").isNull() & F.col("log").isNull()
     summed = joined.groupBy("doc_id", "mark").agg(
         F.count("base").alias("copies"),
         F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"), F.max("base").alias("head"),
+        F.sum(F.when(F.col("log").isNotNull(), F.col("times") * F.col("log")).otherwise(0.0)).alias("rare_score"),
         F.max("n_known").alias("known_head"),
         F.sum(F.when(rare & F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known_rare"),
         F.sum(
@@ -280,6 +399,6 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
         (F.col("head") + F.col("rare") / F.col("copies") - F.col("n_tokens") * F.lit(per_token)).alias(
             "base_score"
         ),
-        "score",
+        (F.col("score") + F.col("rare_score") / F.col("copies")).alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
     ).drop("_copy")
