@@ -106,6 +106,27 @@ def test_rules_of_a_table_equal_rules_of_a_list(spark):
     assert dr.boundary_violations_by_table(calls, table.limit(0)).count() == 0
 
 
+def test_rules_of_a_table_meet_names_not_pairs(spark, monkeypatch):
+    calls = spark.range(900).selectExpr("'r' repo_key", "concat('pkg', id % 30) caller", "concat('svc', id div 30) callee")
+    table = spark.createDataFrame(
+        [(1, "a", "pkg1*", "svc2?", None), (2, "b", "*", "svc7", "x"), (3, "c", "*", "*9", None)],
+        "position long, name string, source_pattern string, forbidden_pattern string, description string",
+    )
+    joined = []
+    real = dr.salted_join
+
+    def counted(left, right, keys, *args, **kwargs):
+        if "prefix" in keys:
+            joined.append(left.count())
+        return real(left, right, keys, *args, **kwargs)
+
+    monkeypatch.setattr(dr, "salted_join", counted)
+    got = dr.boundary_violations_by_table(calls, table).groupBy("boundary_name").count().collect()
+    # 11 callers begin with pkg1, 10 callees are svc2?; svc7 has 30 callers; svc9, svc19 and svc29 less those of rule a
+    assert sorted(map(tuple, got)) == [("a", 110), ("b", 30), ("c", 79)]
+    assert joined and sum(joined) <= 60 * 6
+
+
 def test_mentions_of_a_name_table(spark):
     from tracebeam.functions.texts import mentioned_names
 

@@ -12,6 +12,7 @@ from tracebeam.functions.texts import glob_match, glob_regexes, literal_prefix
 from tracebeam.functions.times import instant
 from tracebeam.operators.runtime import scope
 from tracebeam.operators.skew import ROWS_PER_TASK, salted_join
+from tracebeam.session import materialize
 
 # Severities, ranks, gates and texts of findings.
 SEVERITY_RANK = {"note": 0, "warning": 1, "error": 2, "critical": 3}
@@ -136,38 +137,44 @@ def boundary_violations_by_table(
     """Edges (every row) that break a rule of a table; the first matching rule by ``position`` counts.
 
     ``rules`` has position, name, source_pattern, forbidden_pattern, description. A rule is filed under
-    the longer of its two literal prefixes, cut to one of a few lengths; an edge looks under the same
-    cuts of its caller and callee, so it only meets rules that share one of its prefixes. Rules without
-    any literal prefix meet every edge. Patterns are tested on distinct (caller, callee) pairs. A null
+    the longer of its two literal prefixes, cut to one of a few lengths; a distinct caller or callee looks
+    under the same cuts of its name, so it only meets rules that share one of its prefixes. Rules without
+    any literal prefix meet every caller. Of the rules that fit a name on this side, only the first for each
+    pattern of the other side goes on to the distinct (caller, callee) pairs, which are not unfolded. A null
     pattern matches nothing, a null description is empty.
     """
     source, forbidden = literal_prefix(F.col("source_pattern")), literal_prefix(F.col("forbidden_pattern"))
     from_source = F.length(source) >= F.length(forbidden)
-    prefix = F.when(from_source, source).otherwise(forbidden)
+    one_of = lambda x, y: F.when(from_source, x).otherwise(y)
     lengths = F.array(*[F.lit(n) for n in PREFIX_LENGTHS])
     filed = rules.where("source_pattern is not null and forbidden_pattern is not null").select(
-        "position", "name", F.coalesce("description", F.lit("")).alias("description"),
-        F.when(from_source, "caller").otherwise("callee").alias("side"), prefix.alias("prefix"),
-        glob_regexes("source_pattern").alias("source"), glob_regexes("forbidden_pattern").alias("forbidden"),
+        F.struct("position", "name", F.coalesce("description", F.lit("")).alias("description")).alias("rule"),
+        one_of(F.lit("caller"), F.lit("callee")).alias("side"), one_of(source, forbidden).alias("prefix"),
+        glob_regexes(one_of(F.col("source_pattern"), F.col("forbidden_pattern"))).alias("own"),
+        glob_regexes(one_of(F.col("forbidden_pattern"), F.col("source_pattern"))).alias("other"),
     ).withColumn("size", F.array_max(F.filter(lengths, lambda n: n <= F.length("prefix")))).withColumn(
         "prefix", F.expr("substring(prefix, 1, size)")
     )
-    pairs = calls.select("caller", "callee").distinct()
-    cuts = lambda side: F.transform(
-        F.filter(lengths, lambda n: n <= F.length(side)),
-        lambda n: F.struct(F.lit(side).alias("side"), n.alias("size"), F.col(side).substr(F.lit(1), n).alias("prefix")),
+    pairs = materialize(
+        calls.select("caller", "callee").where("caller is not null and callee is not null").distinct(), "edge-pairs"
     )
-    looked_up = pairs.where("caller is not null and callee is not null").select(
-        "caller", "callee", F.explode(F.concat(cuts("caller"), cuts("callee"))).alias("k")
-    ).select("caller", "callee", "k.*")
-    met = salted_join(
-        looked_up, filed, ["side", "size", "prefix"],
-        ["caller", "callee"], rows_per_task=rows_per_task,
+    named = lambda side: pairs.select(F.lit(side).alias("side"), F.col(side).alias("text")).distinct()
+    looked_up = named("caller").union(named("callee")).select(
+        "side", "text", F.explode(F.filter(lengths, lambda n: n <= F.length("text"))).alias("size")
+    ).withColumn("prefix", F.expr("substring(text, 1, size)"))
+    met = salted_join(looked_up, filed, ["side", "size", "prefix"], ["text"], rows_per_task=rows_per_task)
+    fits = materialize(
+        met.where(F.regexp_like("text", F.col("own"))).groupBy("side", "text", "other").agg(F.min("rule").alias("rule")),
+        "rules-of-names",
     )
-    first = (
-        met.where(F.regexp_like("caller", F.col("source")) & F.regexp_like("callee", F.col("forbidden")))
-        .groupBy("caller", "callee")
-        .agg(F.min(F.struct("position", "name", "description")).alias("_rule"))
+
+    def hits(side: str, far: str) -> DataFrame:
+        mine = fits.where(F.col("side") == side).select(F.col("text").alias(side), "other", "rule")
+        both = salted_join(pairs, mine, [side], [far], rows_per_task=rows_per_task)
+        return both.where(F.regexp_like(far, F.col("other"))).select("caller", "callee", "rule")
+
+    first = hits("caller", "callee").union(hits("callee", "caller")).groupBy("caller", "callee").agg(
+        F.min("rule").alias("_rule")
     )
     return _violations(salted_join(calls, first, ["caller", "callee"], EDGE, rows_per_task=rows_per_task))
 
