@@ -293,3 +293,11 @@ def test_proximity_queries_fetch_only_what_the_floor_keeps(tables, monkeypatch):
     assert plans.score_proximity(tables).count() == want
     assert plans.affected_bonus(tables).count() == want
     assert len(asked) == 2 and max(asked) < 1300
+
+
+def test_rounded_score_rounds_half_up(spark):
+    from tracebeam.functions.scores import rounded_score
+
+    for x, expected in ((0.0, 0.0), (0.05, 0.05), (0.1234564, 0.123456), (0.1234566, 0.123457), (1.0, 1.0)):
+        assert value(spark, rounded_score(F.lit(x), 6)) == expected
+    assert value(spark, rounded_score(F.lit(None).cast("double"), 6)) is None

@@ -81,3 +81,35 @@ def test_first_per_key_trims_before_the_shuffle(spark):
     df = skew.first_per_key(skewed(spark), ["key"], [F.desc("v"), F.asc("id")], 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2  # before and after the exchange
+
+
+def test_interval_join_gets_partitions_by_its_pairs(spark, monkeypatch):
+    """Few bytes, many pairs: adaptive execution would leave the join in as many tasks as cores."""
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 50)
+    monkeypatch.setattr(skew, "PAIRS_PER_SLICE", 300)
+    at = F.timestamp_seconds(F.col("id") * 10)
+    points = spark.range(400).select(F.lit("e").alias("env"), "id", at.alias("at"))
+    spans = spark.range(200).select(
+        F.lit("e").alias("env"), F.col("id").alias("sid"), F.timestamp_seconds(F.col("id") * 20).alias("lo"),
+        F.timestamp_seconds(F.col("id") * 20 + 300).alias("hi"),
+    )
+    found = skew.interval_join(spans, points, ["env"], "lo", "hi", "at", 100, ["id"])
+    held = found.groupBy(F.spark_partition_id()).count().collect()
+    expected = sum(lo <= at <= lo + 300 for lo in range(0, 4000, 20) for at in range(0, 4000, 10))
+    assert sum(r["count"] for r in held) == expected
+    assert max(r["count"] for r in held) < expected / 8
+
+
+def test_interval_join_slices_buckets_by_pairs(spark, monkeypatch):
+    """One bucket with few points but many intervals is split as well."""
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 100)
+    monkeypatch.setattr(skew, "PAIRS_PER_SLICE", 1000)
+    points = spark.range(40).select(F.lit("e").alias("env"), "id", F.timestamp_seconds(F.lit(5)).alias("at"))
+    spans = spark.range(500).select(
+        F.lit("e").alias("env"), F.col("id").alias("sid"), F.timestamp_seconds(F.lit(0)).alias("lo"),
+        F.timestamp_seconds(F.lit(9)).alias("hi"),
+    )
+    found = skew.interval_join(spans, points, ["env"], "lo", "hi", "at", 100, ["id"])
+    held = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 500 * 40
+    assert max(r["count"] for r in held) < 500 * 40 / 4
