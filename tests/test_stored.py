@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracebeam.operators import tables as tb
 
@@ -91,3 +92,41 @@ def test_without_partitions(spark, tmp_path):
     for v in ("one", "two"):
         tb.replace_scopes(rows(spark, ("a", 1, v), (None, 2, v)), path, scopes(spark, ("a", 1), (None, 2)))
     assert stored(spark, path) == [("a", 1, "two"), (None, 2, "two")]
+
+
+def test_link_store_holds_no_row_per_link(spark, tables, tmp_path):
+    """Links are read back whole, although the store grows only with incidents and events."""
+    from tracebeam.operators import causality as ca
+    from tracebeam.operators import link_store
+
+    path, columns = str(tmp_path / "links"), ["env_key", "incident_id", "kind", "event_key", "at", "derivation"]
+    rows = lambda df: sorted(map(tuple, df.select(columns).collect()), key=repr)
+    # every event five times at one instant: five times the links of each incident
+    events = tables.causes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn(
+        "event_key", F.concat("event_key", F.lit("#"), "copy")
+    ).drop("copy")
+    link_store.store_links(tables.incidents, events, path)
+    expected = rows(ca.link_incidents(tables.incidents, events))
+    assert rows(link_store.read_links(spark, path)) == expected
+    one = tables.incidents.where(F.col("id") == expected[0][1])
+    link_store.store_links(one, tables.causes, path, min_confidence=0.5)
+    again = rows(ca.link_incidents(one, tables.causes, min_confidence=0.5))
+    left = [r for r in expected if r[1] != expected[0][1]] + again
+    assert rows(link_store.read_links(spark, path)) == sorted(left, key=repr)
+    link_store.store_links(tables.incidents.where("env_key = 'env1'"), events.limit(0), path)
+    assert rows(link_store.read_links(spark, path)) == sorted([r for r in left if r[0] != "env1"], key=repr)
+    assert not (tmp_path / "links" / "incidents" / "env_key=env1").exists()
+
+
+def test_relink_queries_store_no_links(spark, monkeypatch):
+    from benchmark_tables import SF_DIR
+    from tracebeam.operators import causality as ca
+    from tracebeam.plans import registry
+
+    def refused(*args, **kwargs):
+        raise AssertionError("links stored row by row")
+
+    registry.load()
+    monkeypatch.setattr(ca, "write_links", refused)
+    assert registry.run("relink_one_incident", spark, SF_DIR).count() > 0
+    assert registry.run("relink_to_nothing", spark, SF_DIR).count() > 0
