@@ -127,6 +127,33 @@ def test_rules_of_a_table_meet_names_not_pairs(spark, monkeypatch):
     assert joined and sum(joined) <= 60 * 6
 
 
+def test_equal_rules_are_filed_once_and_calls_not_shuffled(spark, monkeypatch):
+    calls = spark.range(600).selectExpr("'r' repo_key", "concat('pkg', id % 30) caller", "concat('svc', id div 30) callee")
+    table = spark.range(500).selectExpr(
+        "500 - id position", "concat('n', 500 - id) name", "'pkg1*' source_pattern",
+        "if(id % 2 = 0, '*', 'svc1?') forbidden_pattern", "cast(null as string) description",
+    )
+    filed = []
+    real = dr.salted_join
+
+    def watched(left, right, keys, *args, **kwargs):
+        if "prefix" in keys:
+            filed.append(right.count())
+        return real(left, right, keys, *args, **kwargs)
+
+    monkeypatch.setattr(dr, "salted_join", watched)
+    got = dr.boundary_violations_by_table(calls, table)
+    # (11 callers begin with pkg1) x 20 callees, of which svc1? has ten: the lowest position is a svc1? rule
+    want = [("n1", 11 * 10), ("n2", 11 * 10)]
+    assert sorted(map(tuple, got.groupBy("boundary_name").count().collect())) == want
+    assert filed == [2]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    monkeypatch.setattr(dr, "BROADCAST_ROWS", 0)
+    again = dr.boundary_violations_by_table(calls, table)
+    assert sorted(map(tuple, again.select(got.columns).collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_mentions_of_a_name_table(spark):
     from tracebeam.functions.texts import mentioned_names
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -127,6 +127,8 @@ def _violations(broken: DataFrame) -> DataFrame:
     )
 
 
+# (name, pattern, rule) rows that are sent to every task
+BROADCAST_ROWS = 1_000_000
 # lengths to which literal prefixes of rules are cut
 PREFIX_LENGTHS = (*range(25), 32, 48, 64)
 
@@ -139,9 +141,10 @@ def boundary_violations_by_table(
     ``rules`` has position, name, source_pattern, forbidden_pattern, description. A rule is filed under
     the longer of its two literal prefixes, cut to one of a few lengths; a distinct caller or callee looks
     under the same cuts of its name, so it only meets rules that share one of its prefixes. Rules without
-    any literal prefix meet every caller. Of the rules that fit a name on this side, only the first for each
-    pattern of the other side goes on to the distinct (caller, callee) pairs, which are not unfolded. A null
-    pattern matches nothing, a null description is empty.
+    any literal prefix meet every caller. Of rules with the same two patterns only the first is filed; of those
+    that fit a name on this side, only the first for each pattern of the other side goes on to the calls. Up to
+    ``BROADCAST_ROWS`` (counted) they are sent out, so no call is shuffled; beyond, distinct (caller, callee) pairs
+    meet them, which are not unfolded. A null pattern matches nothing, a null description is empty.
     """
     source, forbidden = literal_prefix(F.col("source_pattern")), literal_prefix(F.col("forbidden_pattern"))
     from_source = F.length(source) >= F.length(forbidden)
@@ -154,11 +157,9 @@ def boundary_violations_by_table(
         glob_regexes(one_of(F.col("forbidden_pattern"), F.col("source_pattern"))).alias("other"),
     ).withColumn("size", F.array_max(F.filter(lengths, lambda n: n <= F.length("prefix")))).withColumn(
         "prefix", F.expr("substring(prefix, 1, size)")
-    )
-    pairs = materialize(
-        calls.select("caller", "callee").where("caller is not null and callee is not null").distinct(), "edge-pairs"
-    )
-    named = lambda side: pairs.select(F.lit(side).alias("side"), F.col(side).alias("text")).distinct()
+    ).groupBy("side", "size", "prefix", "own", "other").agg(F.min("rule").alias("rule"))
+    known = calls.where("caller is not null and callee is not null")
+    named = lambda side: known.select(F.lit(side).alias("side"), F.col(side).alias("text")).distinct()
     looked_up = named("caller").union(named("callee")).select(
         "side", "text", F.explode(F.filter(lengths, lambda n: n <= F.length("text"))).alias("size")
     ).withColumn("prefix", F.expr("substring(text, 1, size)"))
@@ -167,16 +168,34 @@ def boundary_violations_by_table(
         met.where(F.regexp_like("text", F.col("own"))).groupBy("side", "text", "other").agg(F.min("rule").alias("rule")),
         "rules-of-names",
     )
+    mine = lambda side: fits.where(F.col("side") == side).select(F.col("text").alias(side), "other", "rule")
+    if fits.count() <= BROADCAST_ROWS:
+        return _violations(_first_of_lists(known, mine))
+    pairs = materialize(known.select("caller", "callee").distinct(), "edge-pairs")
 
     def hits(side: str, far: str) -> DataFrame:
-        mine = fits.where(F.col("side") == side).select(F.col("text").alias(side), "other", "rule")
-        both = salted_join(pairs, mine, [side], [far], rows_per_task=rows_per_task)
+        both = salted_join(pairs, mine(side), [side], [far], rows_per_task=rows_per_task)
         return both.where(F.regexp_like(far, F.col("other"))).select("caller", "callee", "rule")
 
     first = hits("caller", "callee").union(hits("callee", "caller")).groupBy("caller", "callee").agg(
         F.min("rule").alias("_rule")
     )
-    return _violations(salted_join(calls, first, ["caller", "callee"], EDGE, rows_per_task=rows_per_task))
+    # counting hot pairs would shuffle all calls once more; adaptive execution splits them in the join
+    return _violations(calls.join(first, ["caller", "callee"]))
+
+
+def _first_of_lists(calls: DataFrame, mine: Callable[[str], DataFrame]) -> DataFrame:
+    """``calls`` with the first ``_rule`` they break, where the rules of all names are few enough to be sent out."""
+
+    def ruled(df: DataFrame, side: str, far: str) -> DataFrame:
+        listed = mine(side).groupBy(side).agg(F.collect_list(F.struct("other", "rule")).alias("_fits"))
+        hits = F.filter("_fits", lambda x: F.regexp_like(F.col(far), x["other"]))
+        return df.join(F.broadcast(listed), side, "left").withColumn(
+            f"_{side}_rule", F.array_min(F.transform(hits, lambda x: x["rule"]))
+        ).drop("_fits")
+
+    both = ruled(ruled(calls, "caller", "callee"), "callee", "caller")
+    return both.withColumn("_rule", F.least("_caller_rule", "_callee_rule")).where("_rule is not null")
 
 
 def detect_drift(
